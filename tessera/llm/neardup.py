@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.words import BUCKET, distinct_sets, shingle_hashes, slices, word_hashes
+from tessera.llm.words import BUCKET, distinct_sets, parts, shingle_hashes, slices, word_hashes
 from tessera.llm.workspace import Workspace
 
 BUCKETS = 128
@@ -70,7 +70,7 @@ def packed(regs: np.ndarray, lanes: int = LANES) -> np.ndarray:
 
 
 def _sketch(batches):
-    for batch in batches:
+    for batch in (p for b in batches for p in parts(b)):
         texts = batch.column("text").to_pylist()
         hashes, n = shingle_hashes(*word_hashes(texts))
         sets, n = distinct_sets(hashes, n)
@@ -149,24 +149,24 @@ class Linker:
         pairs = self.space.save(pairs, "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         keys = self.nodes.join(wanted, "node").select(_bit().alias("bit"))
-        parts = keys.groupBy(F.expr("bitmap_bucket_number(bit)").alias("part")).agg(
+        filled = keys.groupBy(F.expr("bitmap_bucket_number(bit)").alias("part")).agg(
             F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")
         ).collect()  # at most FILTER_BITS / 32768 rows of 4 KB
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for part, some in parts:
+        for part, some in filled:
             bits[(part - 1) * 4096 : part * 4096] = np.frombuffer(bytes(some), np.uint8)
         sent = self.space.spark.sparkContext.broadcast(bits)
 
         def sets(batches):
-            for batch in batches:
+            for batch in (p for b in batches for p in parts(b)):
                 bit = batch.column("bit").to_numpy() - 1
                 batch = batch.filter(pa.array((sent.value[bit >> 3] >> (bit & 7) & 1).astype(bool)))
                 if not batch.num_rows:
                     continue
                 hashes, n = distinct_sets(*shingle_hashes(*word_hashes(batch.column("text").to_pylist())))
-                parts = [hashes[a:b].tobytes() for a, b in slices(n)]
+                each = [hashes[a:b].tobytes() for a, b in slices(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh128_digest(p) if p else None for p in parts], pa.binary()), pa.array(parts, pa.binary())],
+                    [pa.array([xxhash.xxh128_digest(p) if p else None for p in each], pa.binary()), pa.array(each, pa.binary())],
                     names=["node", "shingles"],
                 )
 

@@ -5,8 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import minhash_dedup
+from tessera.llm import langid, minhash_dedup, packing, sharding, token_output
+from tessera.llm.workspace import Workspace
+
+#: Public vocabulary files by the names in their folder's README; the folder is a parameter.
+BYTES, WORDS, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +28,30 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(table(spark, sf_dir, "documents"), vocabulary(WORDS))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), vocabulary(PIECES))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{Workspace(spark, 'tokens').root}/files"
+    token_output.write_tokens(table(spark, sf_dir, "documents"), vocabulary(BYTES), folder)
+    return token_output.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_packing": op2_packing,
+    "op3_language_id": op3_language_id,
+    "op9_sharding": op9_sharding,
+    "op10_token_output": op10_token_output,
 }
 
 ORACLES: dict[str, str] = {}

@@ -7,6 +7,8 @@ are concerned. ``bytes.lower`` and ``bytes.split`` have exactly these two rules.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 SHINGLE = 5
@@ -15,7 +17,7 @@ _rng = np.random.Generator(np.random.PCG64(20240611))
 PLACE = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BUCKET = _rng.integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Words whose hashes a worker keeps; beyond it the memo starts anew, results don't depend on it.
-MEMO = 400_000
+MEMO = 200_000
 
 
 class WordHashes(dict):
@@ -86,3 +88,14 @@ def distinct_sets(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.nda
 def slices(n: np.ndarray):
     ends = np.cumsum(n)
     return zip((ends - n).tolist(), ends.tolist())
+
+
+def parts(batch: pa.RecordBatch, size: int = 1 << 20, column: str = "text"):
+    """Slices of a batch with about size bytes of text, one row at least: what is held at once stays small."""
+    if not batch.num_rows:
+        return
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = (np.cumsum(lengths) - lengths + 64 * np.arange(len(lengths))) // size
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
