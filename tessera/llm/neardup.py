@@ -6,8 +6,9 @@ mantissa bits after the first one. Four registers make a 60-bit word, and each w
 
 Texts with equal shingle sets are one node from the start. Candidates come from bands that two
 nodes share. The Jaccard similarity is first estimated from the registers, corrected for chance
-collisions of compressed registers; candidates that may reach the threshold are then verified on
-the full sets of 64-bit shingle hashes, which are computed again from the texts.
+collisions of compressed registers, and bounded from above by a parity sketch of the set: each
+shingle flips one of 2048 bits, so two sketches differ in no more bits than the sets do in shingles.
+Candidates that may reach the threshold are then verified on the full sets of 64-bit shingle hashes, which are computed again from the texts.
 
 A bucket of copies isn't expanded into pairs. First each node is held against the least node of
 each of its buckets, then what has not joined its bucket's largest component against a few
@@ -17,7 +18,9 @@ components is verified. Links inside a component can't change the components, so
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,9 @@ from tessera.llm.components import components
 from tessera.llm.words import BUCKET, distinct_sets, parts, shingle_hashes, slices, word_hashes
 from tessera.llm.workspace import Workspace
 
-BUCKETS = 128
-LANES = 4
-BANDS = BUCKETS // LANES
 MANTISSA = 10
+#: Bits of a parity sketch.
+PARITY = 2048
 #: Numbers of shingles hashed at once: few enough for the processor's cache.
 CHUNK = 1 << 15
 #: Bits of the filter that tells which texts a verification needs: 1 MB, at every input size.
@@ -42,18 +44,34 @@ FILTER_BITS = 1 << 23
 COLLIDE = 0.5 / np.log(2) / 2**MANTISSA
 
 
-def registers(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(texts with shingles, BUCKETS) 15-bit registers of the sets that follow one another in hashes."""
+class Shape(NamedTuple):
+    """bands words of lanes registers each; slack: how far below the threshold an estimate may be."""
+
+    bands: int
+    lanes: int
+    slack: float
+
+    @property
+    def buckets(self) -> int:
+        return self.bands * self.lanes
+
+
+#: Documents: at a similarity of 0.75 one pair in 190,000 shares no band; the estimate's deviation is 0.038.
+DOCUMENT = Shape(32, 4, 0.15)
+
+
+def registers(hashes: np.ndarray, n: np.ndarray, buckets: int) -> np.ndarray:
+    """(texts with shingles, buckets) 15-bit registers of the sets that follow one another in hashes."""
     n = n[n > 0]
-    out = np.empty((len(n), BUCKETS), np.int64)
+    out = np.empty((len(n), buckets), np.int64)
     ends = np.cumsum(n)
     a = 0
     while a < len(n):
         start = ends[a] - n[a]
         b = max(a + 1, int(np.searchsorted(ends, start + CHUNK, "right")))
         part, at = hashes[start : ends[b - 1]], (ends[a:b] - n[a:b] - start)
-        low = np.empty((BUCKETS, b - a), np.uint64)
-        for k in range(BUCKETS):
+        low = np.empty((buckets, b - a), np.uint64)
+        for k in range(buckets):
             low[k] = np.minimum.reduceat(part * BUCKET[k], at)
         m, e = np.frexp(low.T.astype(np.float64))
         zeros = np.clip(64 - e, 0, 31)
@@ -63,10 +81,29 @@ def registers(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed(regs: np.ndarray, lanes: int = LANES) -> np.ndarray:
+def packed(regs: np.ndarray, lanes: int) -> np.ndarray:
     """Registers packed, lanes to a 64-bit word, each in 15 bits."""
-    cut = regs[:, : regs.shape[1] // lanes * lanes].reshape(len(regs), -1, lanes)
-    return (cut << (15 * np.arange(lanes)[::-1])).sum(2)
+    return (regs.reshape(len(regs), -1, lanes) << (15 * np.arange(lanes)[::-1])).sum(2)
+
+
+def parities(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(texts with shingles, PARITY / 64) words of the parity sketches of sets without repeats."""
+    n = n[n > 0]
+    out = []
+    for k in range(0, len(n), 256):  # a few hundred sketches at once take little memory
+        some = n[k : k + 256]
+        start = int(n[:k].sum())
+        part = hashes[start : start + int(some.sum())]
+        at = np.repeat(np.arange(len(some)), some) * PARITY + (part >> np.uint64(20) & np.uint64(PARITY - 1)).astype(np.int64)
+        odd = np.bincount(at, minlength=len(some) * PARITY).reshape(len(some), PARITY) & 1
+        out.append(np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8"))
+    return np.concatenate(out) if out else np.zeros((0, PARITY // 64), np.int64)
+
+
+def word_lists(words: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """One list of words for each text with shingles, an empty one for the others."""
+    ends = np.cumsum(np.where(n > 0, words.shape[1], 0))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(words.ravel()))
 
 
 def _sketch(batches):
@@ -75,57 +112,59 @@ def _sketch(batches):
         hashes, n = shingle_hashes(*word_hashes(texts))
         sets, n = distinct_sets(hashes, n)
         prints = [xxhash.xxh128_digest(sets[a:b].tobytes()) if b > a else None for a, b in slices(n)]
-        words = packed(registers(sets, n))
-        offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
-        sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.ravel()))
+        words = packed(registers(sets, n, DOCUMENT.buckets), DOCUMENT.lanes)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), sketch],
-            names=["key", "n", "node", "sketch"],
+            [batch.column("key"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), word_lists(words, n), word_lists(parities(sets, n), n)],
+            names=["key", "n", "node", "sketch", "parity"],
         )
 
 
 def sketches(items: DataFrame) -> DataFrame:
-    """(key, n, node, sketch) of each (key, text): node is a fingerprint of the shingle set, null if it is empty."""
+    """(key, n, node, sketch, parity) of each (key, text): node is a fingerprint of the shingle set, null if it is empty."""
     kind = items.schema["key"].dataType.simpleString()
-    return items.select("key", "text").mapInArrow(_sketch, f"key {kind}, n long, node binary, sketch array<long>")
+    return items.select("key", "text").mapInArrow(_sketch, f"key {kind}, n long, node binary, sketch array<long>, parity array<long>")
 
 
-def matches(a: Column, b: Column) -> Column:
+def matches(a: Column, b: Column, shape: Shape) -> Column:
     """Number of equal registers of two sketches, by bit operations on whole words.
 
     A 15-bit lane of x is zero if adding 0x3FFF to its low 14 bits doesn't reach the top bit and
     the top bit itself is not set.
     """
-    low = sum(0x3FFF << (15 * k) for k in range(LANES))
-    top = sum(0x4000 << (15 * k) for k in range(LANES))
+    low = sum(0x3FFF << (15 * k) for k in range(shape.lanes))
+    top = sum(0x4000 << (15 * k) for k in range(shape.lanes))
 
     def equal(k: int) -> Column:
         x = a[k].bitwiseXOR(b[k])
         used = (x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(top))
-        return LANES - F.bit_count(used)
+        return shape.lanes - F.bit_count(used)
 
-    return reduce(lambda p, q: p + q, (equal(k) for k in range(BANDS)))
+    return reduce(lambda p, q: p + q, (equal(k) for k in range(shape.bands)))
 
 
-def estimate(a: Column, b: Column, n: Column, m: Column) -> Column:
+def estimate(a: Column, b: Column, n: Column, m: Column, shape: Shape) -> Column:
     """Jaccard similarity from matching registers, without the expected chance collisions."""
     chance = F.lit(float(COLLIDE)) * n * m / ((n + m) * (n + m))
-    return (matches(a, b) / F.lit(float(BUCKETS)) - chance) / (1 - chance)
+    return (matches(a, b, shape) / F.lit(float(shape.buckets)) - chance) / (1 - chance)
 
 
 class Linker:
-    """Links nodes with Jaccard similarity of at least percent / 100; slack: what the estimate may be below it."""
+    """Links the nodes of members (key, n, node, sketch, parity) with Jaccard similarity of at least percent / 100.
 
-    def __init__(self, items: DataFrame, space: Workspace, percent: int = 75, slack: float = 0.15):
-        self.space, self.percent, self.slack = space, percent, slack
-        self.items = items
-        self.members = space.save(sketches(items), "sketches")
+    fetch gives (node, shingles) of the nodes in a table (node): their sorted 64-bit hashes.
+    """
+
+    def __init__(self, members: DataFrame, fetch: Callable[[DataFrame, DataFrame], DataFrame], space: Workspace, percent: int, shape: Shape):
+        self.space, self.percent, self.shape, self.fetch = space, percent, shape, fetch
+        self.members = members
         nodes = self.members.where("node is not null").groupBy("node").agg(
-            F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+            F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")
         )
         self.nodes = space.save(nodes, "nodes")
-        bands = self.nodes.select("node", F.posexplode("sketch").alias("band", "value"))
-        full = bands.groupBy("band", "value").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+        bands = self.nodes.select("node", "key", F.posexplode("sketch").alias("band", "value"))
+        # the least key: an original tends to stand before its copies
+        full = bands.groupBy("band", "value").agg(F.min(F.struct("key", "node")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
+        full = full.select("band", "value", F.col("pivot.node").alias("pivot"))
         self.buckets = space.save(bands.join(full, ["band", "value"]).select("band", "value", "node", "pivot"), "buckets")
         self.links = None
 
@@ -133,11 +172,14 @@ class Linker:
         return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
 
     def likely(self) -> Column:
-        guess = estimate(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"))
-        return self.fits(F.col("n_a"), F.col("n_b")) & (guess >= self.percent / 100 - self.slack)
+        guess = estimate(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), self.shape)
+        differ = reduce(lambda p, q: p + q, (F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in range(PARITY // 64)))
+        total = F.col("n_a") + F.col("n_b")
+        may = 100 * (total - differ) >= self.percent * (total + differ)
+        return self.fits(F.col("n_a"), F.col("n_b")) & may & (guess >= self.percent / 100 - self.shape.slack)
 
     def ends(self, end: str) -> DataFrame:
-        return self.nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
+        return self.nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "sketch", "parity")))
 
     def screen(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs that sizes and estimates leave."""
@@ -148,30 +190,7 @@ class Linker:
         """Those of the screened pairs whose full sets reach the threshold."""
         pairs = self.space.save(pairs, "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        keys = self.nodes.join(wanted, "node").select(_bit().alias("bit"))
-        filled = keys.groupBy(F.expr("bitmap_bucket_number(bit)").alias("part")).agg(
-            F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")
-        ).collect()  # at most FILTER_BITS / 32768 rows of 4 KB
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for part, some in filled:
-            bits[(part - 1) * 4096 : part * 4096] = np.frombuffer(bytes(some), np.uint8)
-        sent = self.space.spark.sparkContext.broadcast(bits)
-
-        def sets(batches):
-            for batch in (p for b in batches for p in parts(b)):
-                bit = batch.column("bit").to_numpy() - 1
-                batch = batch.filter(pa.array((sent.value[bit >> 3] >> (bit & 7) & 1).astype(bool)))
-                if not batch.num_rows:
-                    continue
-                hashes, n = distinct_sets(*shingle_hashes(*word_hashes(batch.column("text").to_pylist())))
-                each = [hashes[a:b].tobytes() for a, b in slices(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh128_digest(p) if p else None for p in each], pa.binary()), pa.array(each, pa.binary())],
-                    names=["node", "shingles"],
-                )
-
-        found = self.items.select(_bit().alias("bit"), "text").mapInArrow(sets, "node binary, shingles binary")
-        found = found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        found = self.fetch(wanted, self.nodes)
         found = self.space.save(found, "sets")
         both = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
         both = both.join(found.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b").select("a", "b", "s", "t")
@@ -203,7 +222,7 @@ class Linker:
         mixed = b.groupBy("band", "value").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
         return self.space.save(b.join(mixed.select("band", "value"), ["band", "value"]), "mixed")
 
-    def run(self, draws: int = 2) -> DataFrame:
+    def run(self, draws: int = 1) -> DataFrame:
         """(node, comp) of the nodes that have a link."""
         self.add(self.verify(self.screen(self.buckets.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))))
         mixed = self.labelled()
@@ -231,12 +250,12 @@ class Linker:
         right = rows.withColumn("salt", F.expr("pmod(xxhash64(node), salts)").cast("int"))
 
         def side(rows: DataFrame, end: str) -> DataFrame:
-            rows = rows.join(self.nodes.select("node", "n", "sketch"), "node")
-            return rows.select(*(F.col(c).alias(f"{c}_{end}") for c in ("band", "value", "salt", "node", "comp", "main", "n", "sketch")))
+            rows = rows.join(self.nodes.select("node", "n", "sketch", "parity"), "node")
+            return rows.select(*(F.col(c).alias(f"{c}_{end}") for c in ("band", "value", "salt", "node", "comp", "main", "n", "sketch", "parity")))
 
         same_bucket = reduce(lambda p, q: p & q, (F.col(f"{c}_a") == F.col(f"{c}_b") for c in ("band", "value", "salt")))
         once = (F.col("comp_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
-        first = reduce(lambda p, q: p & q, ((F.col("band_a") <= k) | (F.col("sketch_a")[k] != F.col("sketch_b")[k]) for k in range(BANDS)))
+        first = reduce(lambda p, q: p & q, ((F.col("band_a") <= k) | (F.col("sketch_a")[k] != F.col("sketch_b")[k]) for k in range(self.shape.bands)))
         met = same_bucket & (F.col("comp_a") != F.col("comp_b")) & once & self.likely() & first
         pairs = side(left, "a").join(side(right, "b"), met)
         return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
@@ -247,11 +266,44 @@ def _bit() -> Column:
     return 1 + F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
 
 
+class TextSets:
+    """Shingle sets of wanted nodes, computed again from the texts; only a filter of fixed size is sent to the scan."""
+
+    def __init__(self, items: DataFrame):
+        self.items = items
+
+    def __call__(self, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+        keys = nodes.join(wanted, "node").select(_bit().alias("bit"))
+        filled = keys.groupBy(F.expr("bitmap_bucket_number(bit)").alias("part")).agg(
+            F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")
+        ).collect()  # at most FILTER_BITS / 32768 rows of 4 KB
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for part, some in filled:
+            bits[(part - 1) * 4096 : part * 4096] = np.frombuffer(bytes(some), np.uint8)
+        sent = self.items.sparkSession.sparkContext.broadcast(bits)
+
+        def sets(batches):
+            for batch in (p for b in batches for p in parts(b)):
+                bit = batch.column("bit").to_numpy() - 1
+                batch = batch.filter(pa.array((sent.value[bit >> 3] >> (bit & 7) & 1).astype(bool)))
+                if not batch.num_rows:
+                    continue
+                hashes, n = distinct_sets(*shingle_hashes(*word_hashes(batch.column("text").to_pylist())))
+                each = [hashes[a:b].tobytes() for a, b in slices(n)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([xxhash.xxh128_digest(p) if p else None for p in each], pa.binary()), pa.array(each, pa.binary())],
+                    names=["node", "shingles"],
+                )
+
+        found = self.items.select(_bit().alias("bit"), "text").mapInArrow(sets, "node binary, shingles binary")
+        return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
 def near_duplicates(items: DataFrame, space: Workspace, percent: int = 75) -> DataFrame:
     """(key, n, node, comp) of each row of items (key, text).
 
     comp is the node's component, the node itself without links, and null for texts without words.
     """
-    linker = Linker(items, space, percent)
-    labels = linker.run()
-    return linker.members.select("key", "n", "node").join(labels, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))
+    members = space.save(sketches(items), "sketches")
+    labels = Linker(members, TextSets(items), space, percent, DOCUMENT).run()
+    return members.select("key", "n", "node").join(labels, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))

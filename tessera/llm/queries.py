@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, minhash_dedup, packing, sharding, token_output
+from tessera.llm import decontaminate, langid, line_dedup, minhash_dedup, packing, quality, sharding, substring_dedup, token_output, toxicity
 from tessera.llm.workspace import Workspace
 
 #: Public vocabulary files by the names in their folder's README; the folder is a parameter.
@@ -36,6 +36,27 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), vocabulary(PIECES))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.rate(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
 
@@ -50,8 +71,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_token_output": op10_token_output,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op7_decontamination": decontaminate.ORACLE,
+    "op9_sharding": sharding.oracle("SELECT doc_id, source, n_chars FROM documents", "doc_id"),
+}

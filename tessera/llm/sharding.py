@@ -57,3 +57,13 @@ def shard(rows: DataFrame, key: str, shards: int = SHARDS, slots: int = SLOTS) -
 def write_shards(rows: DataFrame, key: str, folder: str, shards: int = SHARDS) -> None:
     """One folder for each shard."""
     shard(rows, key, shards).drop("slot").write.partitionBy("shard").parquet(folder)
+
+
+def oracle(rows: str, key: str, shards: int = SHARDS, slots: int = SLOTS) -> str:
+    """The same placement in SQL, with the lookup table as a list."""
+    table = ", ".join(map(str, lookup_table([f"shard-{i}" for i in range(shards)], slots)))
+    return f"""
+WITH t AS MATERIALIZED (SELECT unnest([{table}]) AS shard, unnest(range({slots})) AS slot),
+r AS (SELECT *, (('0x' || substr(md5(coalesce({key}::VARCHAR, '')), 1, 15))::BIGINT % {slots})::INT AS slot FROM ({rows}))
+SELECT r.*, t.shard::INT AS shard FROM r JOIN t ON r.slot = t.slot
+"""

@@ -19,8 +19,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks that a worker keeps; beyond it the memo starts anew, results don't depend on it.
-MEMO = 500_000
+#: Chunks in a generation of the memo; a worker keeps this one and the last. Results don't depend on it.
+MEMO = 300_000
 #: White space that byte-level chunking leaves to the library.
 OTHER_SPACE = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z")
 
@@ -34,7 +34,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words = words
-        self.memo: dict[str, bytes] = {}
+        #: chunks by their texts; \n alone is known from the start, so that no other chunk has one
+        self.memo: dict[str, bytes] = {"\n": self.whole(["\n"])[0], "": b""}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -79,10 +81,27 @@ class Encoder:
         return out
 
     def _learn(self, new: set[str]) -> None:
+        """Encode chunks, many of them in one text; what an id belongs to is told by its last character."""
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-        new = list(new)
-        self.memo.update(zip(new, self.whole([c.replace("\0", " ", 1) for c in new])))
+            self.memo, self.old = {c: self.memo[c] for c in ("\n", "")}, self.memo
+        old = self.old
+        self.memo.update((c, old[c]) for c in new if c in old)
+        rest = [c for c in new if c not in old]
+        for k in range(0, len(rest), 4000):
+            some = rest[k : k + 4000]
+            # a byte-level chunk stands behind its space or behind a newline, whose own id is left out
+            bare = some if self.words else [c.replace("\0", "", 1) for c in some]
+            text = "".join(" " + c if self.words or len(c) < len(m) else "\n" + c for c, m in zip(bare, some))
+            length = np.fromiter(map(len, bare), np.int64, len(bare)) + 1
+            first = np.cumsum(length) - length
+            found = self.tokenizer.encode(text, add_special_tokens=False)
+            at = np.fromiter((b - 1 for _, b in found.offsets), np.int64, len(found.ids))
+            ids = np.array(found.ids, "<u4")
+            own = np.ones(len(at), bool) if self.words else np.fromiter((text[a] != "\n" for a in at), bool, len(at))
+            of = np.searchsorted(first, at[own], "right") - 1
+            raw, ends = ids[own].tobytes(), 4 * np.cumsum(np.bincount(of, minlength=len(some)))
+            starts = [0, *ends[:-1].tolist()]
+            self.memo.update((c, raw[a:b]) for c, a, b in zip(some, starts, ends.tolist()))
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
