@@ -27,7 +27,7 @@ PIECE, RUN = 8, 48
 #: Expectation maximisation rounds, and the count that every piece has besides.
 ROUNDS, SMOOTH = 3, 0.02
 #: Words whose scores a worker keeps; beyond it the memo starts anew, results don't depend on it.
-MEMO = 200_000
+MEMO = 400_000
 LETTER = re.compile(r"[^\W\d_]")
 START = "▁"
 
@@ -46,27 +46,57 @@ def runs(word: str) -> list[str]:
     return [marked] if len(marked) <= RUN else [marked[k : k + RUN] for k in range(0, len(marked), RUN)]
 
 
+class Pieces:
+    """A vocabulary's pieces by 64-bit hashes of their characters."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.other = len(pieces)
+        names = list(pieces)
+        hashes = np.zeros(len(names), np.uint64)
+        codes = np.zeros((len(names), PIECE), np.uint64)
+        for i, name in enumerate(names):
+            codes[i, : len(name)] = [ord(c) for c in name]
+        for k in range(PIECE):
+            hashes = np.where(codes[:, k] > 0, self.extend(hashes, codes[:, k]), hashes)
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], np.array([pieces[n] for n in names], np.int64)[order]
+        assert (np.diff(self.hashes) > 0).all()
+
+    @staticmethod
+    def extend(hashes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        h = (hashes + chars + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(32))
+
+    def lookup(self, hashes: np.ndarray, other: bool) -> np.ndarray:
+        """The pieces' numbers; without a piece the unknown character if other, else -1."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.ids[at], self.other if other else -1)
+
+
 class Lattice:
     """All pieces of many runs as edges, in the order of their ends. A character outside the vocabulary is one piece."""
 
-    def __init__(self, texts: list[str], pieces: dict[str, int]):
-        other = len(pieces)
-        run, begin, end, piece = [], [], [], []
-        for r, text in enumerate(texts):
-            for i in range(1, len(text) + 1):
-                for j in range(max(0, i - PIECE), i):
-                    p = pieces.get(text[j:i])
-                    if p is None:
-                        if j < i - 1:
-                            continue
-                        p = other
-                    run.append(r)
-                    begin.append(j)
-                    end.append(i)
-                    piece.append(p)
-        order = np.argsort(np.array(end, np.int32), kind="stable")
-        self.run, self.begin, self.end, self.piece = (np.array(x, np.int32)[order] for x in (run, begin, end, piece))
-        self.length = np.array([len(t) for t in texts], np.int32)
+    def __init__(self, texts: list[str], pieces: Pieces):
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        self.length = np.fromiter(map(len, texts), np.int32, len(texts))
+        run = np.repeat(np.arange(len(texts), dtype=np.int32), self.length)
+        last = np.cumsum(self.length)
+        begin = np.arange(len(chars)) - (last - self.length)[run]
+        room = last[run] - np.arange(len(chars))  # characters from here to the end of the run
+        hashes, found = np.zeros(len(chars), np.uint64), []
+        at = np.arange(len(chars))
+        for size in range(1, PIECE + 1):
+            at = at[room[at] >= size]
+            hashes = hashes[: len(at)] if size == 1 else hashes[keep[: len(hashes)]]
+            hashes = pieces.extend(hashes, chars[at + size - 1])
+            piece = pieces.lookup(hashes, other=size == 1)
+            hit = piece >= 0
+            where = at[hit]
+            found.append((run[where], begin[where], begin[where] + size, piece[hit]))
+            keep = room[at] >= size + 1
+        run, begin, end, piece = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((run, end))
+        self.run, self.begin, self.end, self.piece = (x[order].astype(np.int32) for x in (run, begin, end, piece))
         top = int(self.length.max(initial=0))
         self.at = np.searchsorted(self.end, np.arange(1, top + 2))
 
@@ -121,17 +151,17 @@ def train(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS) -> Model:
     rows = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(drawn), ["doc_id", "lang"], "left_semi")
     words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n")).toPandas()
-    pieces = vocabulary(path)
+    pieces = Pieces(vocabulary(path))
     languages = sorted(counts.lang.unique())
     if not languages:
-        return Model(path, [], np.zeros((len(pieces) + 1, 0)))
+        return Model(path, [], np.zeros((pieces.other + 1, 0)))
     column = {x: k for k, x in enumerate(languages)}
     weights: dict[str, np.ndarray] = {}
     for lang, word, n in zip(counts.lang, counts.word, counts.n):
         for run in runs(word):
             weights.setdefault(run, np.zeros(len(languages)))[column[lang]] += n
     texts = sorted(weights)
-    chances = np.full((len(pieces) + 1, len(languages)), 1 / (len(pieces) + 1))
+    chances = np.full((pieces.other + 1, len(languages)), 1 / (pieces.other + 1))
     for _ in range(ROUNDS):
         uses = np.zeros_like(chances)
         for k in range(0, len(texts), 20_000):  # the lattice of all words needn't be held at once
@@ -147,7 +177,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.pieces = vocabulary(model.path)
+        self.pieces = Pieces(vocabulary(model.path))
         self.memo: dict[str, int] = {}
         self.table = np.zeros((0, len(model.languages)))
 

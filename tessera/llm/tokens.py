@@ -25,6 +25,10 @@ MEMO = 300_000
 OTHER_SPACE = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z")
 
 
+#: Chunks that are known from the start. No other chunk of a byte-level file has a newline.
+KNOWN = ["", "\n", ".", ","]
+
+
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned 32-bit integers."""
 
@@ -34,8 +38,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words = words
-        #: chunks by their texts; \n alone is known from the start, so that no other chunk has one
-        self.memo: dict[str, bytes] = {"\n": self.whole(["\n"])[0], "": b""}
+        self.memo: dict[str, bytes] = dict(zip(KNOWN, self.whole(KNOWN)))
         self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -80,13 +83,27 @@ class Encoder:
                 at += len(x)
         return out
 
+    def _stem(self, chunk: str) -> tuple[str, str]:
+        """What a chunk's ids are made of: a full stop or comma behind a letter is a piece of its own, and word-level files ignore case."""
+        stem, tail = chunk, ""
+        if chunk[-1:] in (".", ",") and chunk[-2:-1].isalpha():
+            stem, tail = chunk[:-1], chunk[-1]
+        if self.words and stem and max(stem) < "\u0130":  # below it every capital has one small letter
+            stem = stem.lower()
+        return stem, tail
+
     def _learn(self, new: set[str]) -> None:
         """Encode chunks, many of them in one text; what an id belongs to is told by its last character."""
         if len(self.memo) + len(new) > MEMO:
-            self.memo, self.old = {c: self.memo[c] for c in ("\n", "")}, self.memo
+            self.memo, self.old = {c: self.memo[c] for c in KNOWN}, self.memo
         old = self.old
         self.memo.update((c, old[c]) for c in new if c in old)
-        rest = [c for c in new if c not in old]
+        made = {c: self._stem(c) for c in new if c not in old}
+        self._encode([c for c in dict.fromkeys(stem for stem, _ in made.values()) if c not in self.memo])
+        memo = self.memo
+        memo.update([(c, memo[stem] + memo[tail]) for c, (stem, tail) in made.items()])
+
+    def _encode(self, rest: list[str]) -> None:
         for k in range(0, len(rest), 4000):
             some = rest[k : k + 4000]
             # a byte-level chunk stands behind its space or behind a newline, whose own id is left out
