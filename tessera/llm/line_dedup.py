@@ -83,7 +83,7 @@ def removals(docs: DataFrame, space: Workspace) -> DataFrame:
     bits = _filter(repeated.select(_bit("hash").alias("bit")))
     rows = parts.select("doc_id", "c.number", "c.text", F.xxhash64("c.text").alias("hash"))
     rows = _passed(rows.withColumn("bit", _bit("hash")), bits).where("passed").drop("passed")
-    rows = space.save(rows.join(repeated, "hash", "left_semi"), "candidates")
+    rows = space.save(rows.join(repeated.hint("merge"), "hash", "left_semi"), "candidates")
     first = rows.groupBy("hash", "text").agg(F.min(F.struct("doc_id", "number")).alias("at"))
     joined = rows.alias("r").join(first.alias("f"), (F.col("r.hash") == F.col("f.hash")) & (F.col("r.text") == F.col("f.text")))
     return joined.where("not (r.doc_id <=> f.at.doc_id and r.number = f.at.number)").select("r.doc_id", "r.number", "r.text")
@@ -103,12 +103,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     plain = docs.drop("n_lines", "n_removed")
     names = plain.columns
     held = plain.toDF(*(f"c{i}" for i in range(len(names)))).select(
-        F.struct(*(f"c{i}" for i in range(len(names)))).alias("row"),
+        F.struct(F.lit(0).alias("none"), *(f"c{i}" for i in range(len(names)) if names[i] != "text")).alias("row"),
         F.col(f"c{names.index('doc_id')}").alias("doc_id"), F.col(f"c{names.index('text')}").alias("text"),
     )
     bits = _filter(gone.select(_bit("doc_id").alias("bit")))
     held = _passed(held.withColumn("bit", _bit("doc_id")), bits)
-    touched = chunks(held.where("passed").drop("passed")).join(gone.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    # merge: the removals grow with the corpus, so no size is right for a broadcast
+    touched = held.where("passed").drop("passed").join(gone.withColumnRenamed("doc_id", "of").hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    touched = chunks(touched)
     left = F.when(F.col("gone").isNull(), F.col("chunks")).otherwise(
         F.filter("chunks", lambda c: ~F.array_contains("gone", F.struct(c["number"].alias("number"), F.xxhash64(c["text"]).alias("hash"))))
     )
