@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values that results depend on.
 TOKEN = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
@@ -33,7 +34,7 @@ VIEWS = ("topic", "identity", "episode", "relation")
 LEAST_SENTENCE, MOST_SENTENCE, MOST_INFORMATION = 18, 720, 45
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Compatibility normalization; Spark has no built-in for it."""
     return values.map(lambda v: unicodedata.normalize("NFKC", v) if isinstance(v, str) and not v.isascii() else v)

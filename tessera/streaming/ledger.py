@@ -20,13 +20,13 @@ def ledger(events: DataFrame, key: str = "user_id") -> DataFrame:
 def windowed(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Counts and sums by event type in tumbling or sliding windows; events later than late are dropped by a stream."""
     when = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return events.withWatermark("ts", late).groupBy(when.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(when.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
         F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, key: str = "user_id", late: str = "1 hour") -> DataFrame:
     """Sessions of each key with a gap between events of at most gap."""
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(
         F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
