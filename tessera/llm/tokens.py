@@ -29,6 +29,10 @@ OTHER_SPACE = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z")
 KNOWN = ["", "\n", ".", ","]
 
 
+#: Below it every letter has one small letter, and normalization keeps it.
+LATIN = "\u0130"
+
+
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned 32-bit integers."""
 
@@ -86,9 +90,9 @@ class Encoder:
     def _stem(self, chunk: str) -> tuple[str, str]:
         """What a chunk's ids are made of: a full stop or comma behind a letter is a piece of its own, and word-level files ignore case."""
         stem, tail = chunk, ""
-        if chunk[-1:] in (".", ",") and chunk[-2:-1].isalpha():
+        if chunk[-1:] in (".", ",") and chunk[-2:-1].isalpha() and chunk[-2] < LATIN:
             stem, tail = chunk[:-1], chunk[-1]
-        if self.words and stem and max(stem) < "\u0130":  # below it every capital has one small letter
+        if self.words and stem and max(stem) < LATIN:
             stem = stem.lower()
         return stem, tail
 
