@@ -79,7 +79,8 @@ class Lanes:
                 self.pos[who] = at + 1
             else:
                 at = self.at[who]
-                self.code[who] = (self.code[who] << U8) | self.data[at]
+                # broken data may ask for more than there is; the checksum tells
+                self.code[who] = (self.code[who] << U8) | self.data[np.minimum(at, len(self.data) - 1)]
                 self.at[who] = at + 1
             low, wide = low << U8, wide << U8
             self.low[who], self.range[who] = low, wide

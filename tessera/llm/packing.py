@@ -67,10 +67,11 @@ def combinations(units: int) -> np.ndarray:
     return out
 
 
-def nnls(a: np.ndarray, y: np.ndarray, rounds: int = 2000) -> np.ndarray:
+def nnls(a: np.ndarray, y: np.ndarray, rounds: int = 1000) -> np.ndarray:
     """x >= 0 with the least |a x - y|, by the active-set method of Lawson and Hanson."""
     x = np.zeros(a.shape[1])
     used = np.zeros(a.shape[1], bool)
+    loss = float(y @ y)
     for _ in range(rounds):
         slope = a.T @ (y - a @ x)
         slope[used] = -np.inf
@@ -80,7 +81,8 @@ def nnls(a: np.ndarray, y: np.ndarray, rounds: int = 2000) -> np.ndarray:
         used[j] = True
         while True:
             at = np.flatnonzero(used)
-            z = np.linalg.lstsq(a[:, at], y, rcond=None)[0]
+            some = a[:, at]
+            z = np.linalg.solve(some.T @ some + 1e-10 * np.eye(len(at)), some.T @ y)
             if (z > 0).all():
                 x[:] = 0
                 x[at] = z
@@ -92,6 +94,10 @@ def nnls(a: np.ndarray, y: np.ndarray, rounds: int = 2000) -> np.ndarray:
             x[~used] = 0
             if not used.any():
                 break
+        rest = y - a @ x
+        if loss - float(rest @ rest) <= 1e-9 * loss:
+            break
+        loss = float(rest @ rest)
     return x
 
 
