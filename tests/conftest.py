@@ -4,6 +4,8 @@ from pathlib import Path
 
 import pytest
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 ROOT = str(Path(__file__).resolve().parent.parent)
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
