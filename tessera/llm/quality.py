@@ -25,12 +25,21 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 SCALE = 30.0
-MEMO = 150_000
+MEMO = 400_000
 
 
-def _grams(word: bytes) -> list[int]:
-    w = f"^{word.decode()}$"
-    return [xxhash.xxh64_intdigest(w[k : k + 3]) % WEIGHTS for k in range(len(w) - 2)]
+def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character trigrams of words with marked ends, one word after the other, and their number for each word."""
+    marked = [f"^{w.decode()}$" for w in words]
+    code = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    length = np.fromiter(map(len, marked), np.int64, len(marked))
+    if not len(code):
+        return np.zeros(0, np.int64), length
+    h = mix(code[:-2] * PLACE[11] + mix(code[1:-1]) * PLACE[12] + mix(code[2:] * PLACE[13]))
+    inside = np.ones(len(code), bool)
+    ends = np.cumsum(length)
+    inside[ends - 1] = inside[ends - 2] = False
+    return (h[inside[:-2]] % np.uint64(WEIGHTS)).astype(np.int64), length - 2
 
 
 def _pairs(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,10 +60,10 @@ def _features(batches):
         for i, (a, b) in enumerate(slices(counts)):
             row = np.zeros(0, np.int64), np.zeros(0)
             if b > a:
-                grams = [_grams(w) for w in texts[i].encode().split()]
+                grams, each = _grams(texts[i].encode().split())
                 pair = pairs[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")]
-                at = np.concatenate([(flat[a:b] % np.uint64(WEIGHTS)).astype(np.int64), pair, np.array([g for x in grams for g in x])])
-                value = np.concatenate([np.full(b - a, 1 / (b - a)), np.full(len(pair), 1 / max(1, len(pair))), np.array([1 / len(x) / (b - a) for x in grams for _ in x])])
+                at = np.concatenate([(flat[a:b] % np.uint64(WEIGHTS)).astype(np.int64), pair, grams])
+                value = np.concatenate([np.full(b - a, 1 / (b - a)), np.full(len(pair), 1 / max(1, len(pair))), np.repeat(1 / each / (b - a), each)])
                 at, k = np.unique(at, return_inverse=True)
                 row = at, np.bincount(k, value)
             ats.append(row[0].astype(np.int32))
@@ -133,23 +142,29 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.memo: dict[bytes, float] = {}
+        self.memo: dict[int, float] = {}
 
-    def share(self, word: bytes, h: int) -> float:
-        w = self.model.weights
-        return float(w[h % WEIGHTS] + w[_grams(word)].mean())
-
-    def chances(self, texts: list[str | None], flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        words = [w for t in texts if t for w in t.encode().split()]
+    def shares(self, texts: list[str | None], flat: np.ndarray) -> np.ndarray:
+        """Each word's own weight and the mean weight of its trigrams."""
+        known, first, at = np.unique(flat, return_index=True, return_inverse=True)
+        keys = known.tolist()
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo, shares = self.memo, list(map(self.memo.get, words))
-        if None in shares:
-            for k, (word, known) in enumerate(zip(words, shares)):
-                if known is None:
-                    shares[k] = memo[word] = memo[word] if word in memo else self.share(word, int(flat[k]))
+        get = self.memo.get
+        found = np.array([get(k, np.nan) for k in keys])
+        new = np.flatnonzero(np.isnan(found))
+        if len(new):
+            words = [w for t in texts if t for w in t.encode().split()]
+            grams, n = _grams([words[k] for k in first[new].tolist()])
+            w = self.model.weights
+            start = np.cumsum(n) - n
+            found[new] = w[(known[new] % np.uint64(WEIGHTS)).astype(np.int64)] + np.add.reduceat(w[grams].astype(float), start) / n
+            self.memo.update((keys[k], v) for k, v in zip(new.tolist(), found[new].tolist()))
+        return found[at]
+
+    def chances(self, texts: list[str | None], flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
         owner = np.repeat(np.arange(len(counts)), counts)
-        z = np.bincount(owner, shares, len(counts)) / np.maximum(counts, 1)
+        z = np.bincount(owner, self.shares(texts, flat), len(counts)) / np.maximum(counts, 1)
         pairs, of = _pairs(flat, counts)
         z += np.bincount(of, self.model.weights[pairs], len(counts)) / np.maximum(counts - 1, 1)
         return sigmoid(self.model.slope * z + self.model.intercept)
