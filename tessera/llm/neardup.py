@@ -226,14 +226,21 @@ class Linker:
         """(node, comp) of the nodes that have a link."""
         self.add(self.verify(self.screen(self.buckets.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))))
         mixed = self.labelled()
+        if mixed.isEmpty():
+            return self.labels
         drawn = mixed.groupBy("band", "value").agg(
             *(F.expr(f"min_by(struct(node, comp), xxhash64(node, {k}))").alias(f"d{k}") for k in range(draws))
         )
         drawn = drawn.select("band", "value", F.explode(F.array(*(f"d{k}" for k in range(draws)))).alias("d"))
         some = mixed.join(drawn, ["band", "value"]).where("comp <> d.comp").select(F.col("node").alias("a"), F.col("d.node").alias("b"))
-        self.add(self.verify(self.screen(some)))
-        self.space.drop(mixed)
-        self.add(self.verify(self.rest(self.labelled())))
+        new = self.verify(self.screen(some))
+        if not new.isEmpty():
+            self.add(new)
+            self.space.drop(mixed)
+            mixed = self.labelled()
+        new = self.verify(self.rest(mixed))
+        if not new.isEmpty():
+            self.add(new)
         return self.labels
 
     def rest(self, mixed: DataFrame) -> DataFrame:
