@@ -8,10 +8,16 @@ doc_id, then the least chunk number.
 Hashes only narrow the search. Two filters of fixed size, each one bit for a hashed key, are
 broadcast: one tells which chunks may be repeated, the other which documents lose any. So texts
 that have nothing to lose never move between executors.
+
+Chunks are cut where the hash says, so the ends of a passage, and short passages, may stay: that
+is dedup, which the oracle defines. deduped, the pipeline's stage, compares all pairs of
+neighbouring lines instead, which overlap and so grow to whole passages of two lines or more.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +59,22 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.withColumn("chunks", text).drop("hashes", "ends", "begins", "spans")
 
 
+def pairs(docs: DataFrame) -> DataFrame:
+    """docs with lines, and chunks: every two neighbouring lines that are not blank, with the blank ones between them, in the same shape."""
+    docs = docs.withColumn("lines", F.split(F.col("text"), "\n"))
+    docs = docs.withColumn("filled", F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.regexp_like(F.element_at("lines", i), F.lit(r"\S"))))
+    spans = F.transform("filled", lambda i, k: F.struct(i.alias("first"), F.get("filled", k + 1).alias("last")))
+    docs = docs.withColumn("spans", F.when(F.col("text").isNotNull(), F.filter(spans, lambda z: z["last"].isNotNull())))
+    text = F.transform(
+        "spans",
+        lambda z: F.struct(
+            z["first"].alias("number"), z["first"].alias("first"), z["last"].alias("last"),
+            F.array_join(F.slice("lines", z["first"], z["last"] - z["first"] + 1), "\n").alias("text"),
+        ),
+    )
+    return docs.withColumn("chunks", text).drop("filled", "spans")
+
+
 def _several(text: Column) -> Column:
     """There are at least two lines that are not blank."""
     return F.regexp_count(text, F.lit(r"(?m)^.*\S")) >= 2
@@ -74,23 +96,24 @@ def _passed(rows: DataFrame, bits: DataFrame) -> Column:
     ).drop("word", "bits", "bit")
 
 
-def removals(docs: DataFrame, space: Workspace) -> DataFrame:
-    """(doc_id, number, text) of every chunk that is not at its first place."""
+def removals(docs: DataFrame, space: Workspace, cut: Callable[[DataFrame], DataFrame] = chunks) -> DataFrame:
+    """(doc_id, number, hash) of every chunk, or pair of lines, that is not at its first place; SHA-256 stands for its bytes."""
     # explode_outer: the filter that Spark infers for explode would compute the chunks anew, in nested loops
-    parts = chunks(docs.select("doc_id", "text")).select("doc_id", F.explode_outer("chunks").alias("c")).where(_several(F.col("c.text")))
+    parts = cut(docs.select("doc_id", "text")).select("doc_id", F.explode_outer("chunks").alias("c")).where(_several(F.col("c.text")))
     hashed = parts.select(F.xxhash64("c.text").alias("hash"))
     repeated = space.save(hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated")
     bits = _filter(repeated.select(_bit("hash").alias("bit")))
     rows = parts.select("doc_id", "c.number", "c.text", F.xxhash64("c.text").alias("hash"))
     rows = _passed(rows.withColumn("bit", _bit("hash")), bits).where("passed").drop("passed")
+    rows = rows.select("doc_id", "number", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "hash")
     rows = space.save(rows.join(repeated.hint("merge"), "hash", "left_semi"), "candidates")
-    first = rows.groupBy("hash", "text").agg(F.min(F.struct("doc_id", "number")).alias("at"))
-    joined = rows.alias("r").join(first.alias("f"), (F.col("r.hash") == F.col("f.hash")) & (F.col("r.text") == F.col("f.text")))
-    return joined.where("not (r.doc_id <=> f.at.doc_id and r.number = f.at.number)").select("r.doc_id", "r.number", "r.text")
+    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "number")).alias("at"))
+    joined = rows.alias("r").join(first.alias("f"), F.col("r.digest") == F.col("f.digest"))
+    return joined.where("not (r.doc_id <=> f.at.doc_id and r.number = f.at.number)").select("r.doc_id", "r.number", "r.hash")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs without repeated chunks, all columns, and n_lines and n_removed, their numbers of lines before and removed.
+def dedup(docs: DataFrame, cut: Callable[[DataFrame], DataFrame] = chunks) -> DataFrame:
+    """docs without repeated chunks, or without the lines of repeated pairs, all columns, and n_lines and n_removed, their numbers of lines before and removed.
 
     Every row of docs stays, with an empty text if nothing is left of it. A null text stays null
     with 0 lines; an empty one is one blank line. Rows of one doc_id with equal texts are one
@@ -98,8 +121,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs that have one of the added names are replaced.
     """
     space = Workspace(docs.sparkSession, "lines")
-    gone = removals(docs, space)
-    gone = space.save(gone.groupBy("doc_id").agg(F.collect_set(F.struct("number", F.xxhash64("text").alias("hash"))).alias("gone")), "gone")
+    gone = removals(docs, space, cut)
+    gone = space.save(gone.groupBy("doc_id").agg(F.collect_set(F.struct("number", "hash")).alias("gone")), "gone")
     plain = docs.drop("n_lines", "n_removed")
     names = plain.columns
     held = plain.toDF(*(f"c{i}" for i in range(len(names)))).select(
@@ -110,14 +133,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     held = _passed(held.withColumn("bit", _bit("doc_id")), bits)
     # merge: the removals grow with the corpus, so no size is right for a broadcast
     touched = held.where("passed").drop("passed").join(gone.withColumnRenamed("doc_id", "of").hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    touched = chunks(touched)
-    left = F.when(F.col("gone").isNull(), F.col("chunks")).otherwise(
-        F.filter("chunks", lambda c: ~F.array_contains("gone", F.struct(c["number"].alias("number"), F.xxhash64(c["text"]).alias("hash"))))
-    )
-    touched = touched.withColumn("left", left).select(
-        "row", F.when(F.col("text").isNotNull(), F.array_join(F.col("left")["text"], "\n")).alias("text"),
+    touched = cut(touched)
+    lost = F.filter("chunks", lambda c: F.array_contains("gone", F.struct(c["number"].alias("number"), F.xxhash64(c["text"]).alias("hash"))))
+    lost = F.flatten(F.transform(lost, lambda c: F.sequence(c["first"], c["last"])))  # pairs overlap
+    every = F.sequence(F.lit(1), F.size("lines"))
+    touched = touched.withColumn("left", F.when(F.col("gone").isNull(), every).otherwise(F.array_except(every, lost))).select(
+        "row", F.when(F.col("text").isNotNull(), F.array_join(F.transform("left", lambda i: F.element_at("lines", i)), "\n")).alias("text"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.aggregate("left", F.size("lines"), lambda n, c: n - (c["last"] - c["first"] + 1)), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size("left")).cast("long").alias("n_removed"),
     )
     whole = held.where("not passed").select("row", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
     whole = whole.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
@@ -128,8 +151,11 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def deduped(docs: DataFrame) -> DataFrame:
-    """docs with shortened texts, in docs' own columns; n_chars, if there, is the text's new length."""
-    found = dedup(docs)
+    """docs without the lines of passages of two lines or more that stand elsewhere before, in docs' own columns.
+
+    n_chars, if there, is the text's new length.
+    """
+    found = dedup(docs, pairs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -29,6 +29,34 @@ def test_a_shared_passage_is_found_behind_other_lines(spark):
     assert got[1].n_removed == 0 and got[3].n_removed == 0 and got[2].n_removed >= 14
 
 
+def test_whole_passages_go_in_the_pipeline(spark):
+    rows = [(1, prose(50, 60))]
+    for n in (2, 3, 4, 7):
+        passage = prose(50 + n, 12 * n)
+        rows += [(10 * n, prose(100 + n, 48) + "\n" + passage + "\n" + prose(200 + n, 48)), (10 * n + 1, prose(300 + n, 36) + "\n" + passage + "\n" + prose(400 + n, 36))]
+    rows.append((90, "one\n\n\ntwo\n" + prose(90, 24)))
+    rows.append((91, "zero\none\n\n\ntwo\nthree"))
+    got = {x.doc_id: x.text for x in line_dedup.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == t for i, t in rows if i % 10 == 0)
+    assert all(got[10 * n + 1] == prose(300 + n, 36) + "\n" + prose(400 + n, 36) for n in (2, 3, 4, 7)) and got[91] == "zero\nthree"
+
+
+def test_line_pairs_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    seen, want = set(), {}
+    for i, text in sorted((r.doc_id, r.text) for r in docs.collect()):
+        lines = text.split("\n")
+        filled = [k for k, x in enumerate(lines) if x.strip()]
+        lost = set()
+        for a, b in zip(filled, filled[1:]):
+            pair = "\n".join(lines[a : b + 1])
+            if pair in seen:
+                lost |= set(range(a, b + 1))
+            seen.add(pair)
+        want[i] = "\n".join(x for k, x in enumerate(lines) if k not in lost)
+    assert {x.doc_id: x.text for x in line_dedup.deduped(docs).collect()} == want
+
+
 def test_hits_equal_brute_force_and_oracle(spark, sf):
     for name in ("documents", "benchmark"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM read_parquet('{sf}/{name}.parquet')")
