@@ -41,8 +41,12 @@ def sentence_stats(spark, d):
 
 
 def view_scores(spark, d):
-    docs = _t(spark, d, "documents")
-    return docs.select("doc_id", *(F.round(c, 6).alias(v) for v, c in X.view_scores(X.clean_field(F.col("text"), 2000)).items()))
+    """Every usable sentence of the whole text, from position 0; the title of a text without one."""
+    docs = _t(spark, d, "documents").select("doc_id", X.clean_text(F.coalesce("text", F.lit(""))).alias("text"))
+    title = F.array(X.clean_field(X.title(F.col("text"), F.col("doc_id")), X.MOST_SENTENCE))
+    docs = docs.withColumn("sentences", X.usable_sentences(F.col("text")))
+    docs = docs.select("doc_id", F.posexplode_outer(F.when(F.size("sentences") > 0, F.col("sentences")).otherwise(title)).alias("position", "sentence"))
+    return docs.select("doc_id", "position", *(F.round(c, 6).alias(v) for v, c in X.view_scores(F.col("sentence")).items()))
 
 
 def clean_fields(spark, d):

@@ -1,9 +1,11 @@
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers as M
 from tessera.functions import text as X
+from tessera.plans import text_queries
 
 
 def one(spark, value, *columns):
@@ -46,6 +48,31 @@ def test_view_scores_agree_with_python(spark):
     assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
 
 
+def test_view_scores_cover_every_sentence(spark, sf, tmp_path):
+    entity, year, number = (re.compile(p.replace("(?U)", "").replace("(?iU)", "(?i)")) for p in (X.ENTITY, X.YEAR, X.NUMBER))
+    late = "Plain words come here again and again. " * 99 + "At last Marie Curie married in 1895. " + "w" * 900 + " Marie Curie of Paris"
+    extra = spark.createDataFrame([(-1, late), (-2, "tiny"), (-3, ""), (-4, None)], "doc_id long, text string")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(extra)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for doc_id, text in docs.collect():
+        text = unicodedata.normalize("NFKC", text or "")
+        found = {}
+        for s in re.split(r"(?<=[.!?。！？])\s+|\n+", text):
+            s = " ".join(s.split())[:720]
+            if len(s) >= 18:
+                found.setdefault(s.lower(), s)
+        for k, s in enumerate(found.values() or [" ".join(text.split())[:720] or f"Document {doc_id}"]):
+            terms = set(t.lower() for t in re.findall(r"[^\W_]+(?:['’-][^\W_]+)*", s))
+            e, y, n, i = len(entity.findall(s)), len(year.findall(s)), len(number.findall(s)), min(len(terms), 45)
+            event, ident, time, rel = (len(terms & set(w)) for w in (X.EVENT_TERMS, X.IDENTITY_TERMS, X.TIME_TERMS, X.RELATION_TERMS))
+            want[doc_id, k] = (0.25 * i + e + event, 4 * e + 1.5 * ident + 0.1 * i, 4 * y + 2 * time + 1.5 * event + 0.35 * n, 3 * rel + 1.25 * e + 0.75 * n)
+    rows = text_queries.view_scores(spark, str(tmp_path)).collect()
+    got = {(r.doc_id, r.position): tuple(r[2:]) for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys() and got[-1, 1][1] > 4
+    assert [k for k in want if max(abs(a - b) for a, b in zip(got[k], want[k])) > 1e-5] == []
+
+
 def test_visible_handles_final(spark):
     assert one(spark, "12: “Hi” there\n== D5: A – b", X.visible(F.col("x")))[0] == '"hi" there a - b'
     assert one(spark, "see D12. and xD9, D7|D12", X.handles(F.col("x")))[0] == ["12", "7"]
