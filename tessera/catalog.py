@@ -13,7 +13,7 @@ _ALL = text_queries.QUERIES | table_queries.QUERIES
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused rankings of every benchmark passage over the whole corpus."""
-    return queries()["rrf_fusion"](spark, sf_dir)
+    return table_queries.whole_fusion(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

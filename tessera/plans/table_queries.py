@@ -221,6 +221,25 @@ def rrf_fusion(spark, d):
     return best.select("query_id", "doc_id", F.col("rank").alias("rank_"), F.round("score", 6).alias("score"))
 
 
+def whole_fusion(spark, d):
+    """rrf_fusion over the ranks of all lexical matches and of all documents by size.
+
+    A document without a match can only be among the ten best if its size is, so others of them
+    needn't be paired with the queries.
+    """
+    lex = lexical.ranked(_bm25(spark, d)).select("query_id", "doc_id", F.lit("lexical").alias("channel"), "rank")
+    docs = _t(spark, d, "documents").select("doc_id", F.coalesce(F.size(tokens(F.coalesce("text", F.lit("")))), F.lit(0)).alias("size"))
+    larger = Window.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)  # over sizes, which are few
+    counts = docs.groupBy("size").agg(F.count("*").alias("n")).select("size", F.coalesce(F.sum("n").over(larger), F.lit(0)).alias("before"))
+    sizes = docs.join(F.broadcast(counts), "size").select("doc_id", (F.col("before") + F.row_number().over(Window.partitionBy("size").orderBy("doc_id"))).alias("rank"))
+    queries = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    first = F.broadcast(queries).crossJoin(F.broadcast(sizes.where("rank <= 10"))).select("query_id", "doc_id", "rank")
+    size = lex.select("query_id", "doc_id").join(sizes, "doc_id").select("query_id", "doc_id", "rank").union(first).distinct()
+    size = size.select("query_id", "doc_id", F.lit("size").alias("channel"), "rank")
+    best = lexical.ranked(vectors.fused(lex.unionByName(size), {"lexical": 1.0, "size": 0.25}), 10)
+    return best.select("query_id", "doc_id", F.col("rank").alias("rank_"), F.round("score", 6).alias("score"))
+
+
 def region_route(spark, d):
     """Hits of each query by region: how many, and the best one."""
     hits = lexical.ranked(_bm25(spark, d), 100).join(_t(spark, d, "documents").select("doc_id", F.col("source").alias("region")), "doc_id")

@@ -29,6 +29,18 @@ def test_query_equals_oracle(spark, sf, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
+def test_flagship_fuses_whole_ranks(spark, sf):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    cut = catalog.oracles()["rrf_fusion"]
+    whole = cut.replace(" WHERE rank <= 50", "")
+    assert cut.count(" WHERE rank <= 50") == 2 and " <= 50" not in whole
+    want = con.sql(f"SELECT query_id, doc_id, rank_, score FROM ({whole})").fetchall()
+    rows = lambda data: sorted(tuple(map(text, r)) for r in data)
+    assert rows(catalog.flagship(spark, sf).collect()) == rows(want) != rows(con.sql(f"SELECT query_id, doc_id, rank_, score FROM ({cut})").fetchall())
+
+
 def test_entry(spark, sf):
     import __spark_entry__
 
