@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from tessera.llm.words import parts
 UNKNOWN = "und"
 #: Labelled rows that are learned from, for each language; drawn by a hash of doc_id.
 SAMPLE_ROWS = 300
-#: Characters of a piece at most, and of a word that is segmented in one go; longer words are cut into such runs.
-PIECE, RUN = 8, 48
+#: Characters of the vocabulary's longest piece. Longer words than LONG are summed in logarithms, so many characters of them at once.
+PIECE, LONG, CELLS = 16, 32, 100_000
 #: Expectation maximisation rounds, and the count that every piece has besides.
 ROUNDS, SMOOTH = 3, 0.02
 #: Words whose scores a worker keeps; beyond it the memo starts anew, results don't depend on it.
@@ -33,17 +34,25 @@ START = "▁"
 
 
 def vocabulary(path: str) -> dict[str, int]:
-    """Pieces of up to PIECE characters of a sentencepiece file, and their numbers."""
+    """The pieces of a sentencepiece file, and their numbers."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return {p: i for i, p in enumerate(dict.fromkeys(p.lower() for p in found if len(p) <= PIECE))}
+    return {p: i for i, p in enumerate(dict.fromkeys(p.lower() for p in found))}
 
 
-def runs(word: str) -> list[str]:
-    marked = START + word
-    return [marked] if len(marked) <= RUN else [marked[k : k + RUN] for k in range(0, len(marked), RUN)]
+def portions(texts: list[str], most: int) -> Iterator[list[int]]:
+    """The places of texts in portions of similar lengths, short ones and long ones apart: most at once, fewer if they are long."""
+    part: list[int] = []
+    for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
+        size = len(texts[i])
+        if part and (len(part) == most or size > LONG and (len(texts[part[0]]) <= LONG or size * (len(part) + 1) > CELLS)):
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
 
 
 class Pieces:
@@ -53,11 +62,15 @@ class Pieces:
         self.other = len(pieces)
         names = list(pieces)
         hashes = np.zeros(len(names), np.uint64)
-        codes = np.zeros((len(names), PIECE), np.uint64)
+        size = np.fromiter(map(len, names), np.int64, len(names))
+        self.longest = int(size.max())
+        codes = np.zeros((len(names), self.longest), np.uint64)
         for i, name in enumerate(names):
             codes[i, : len(name)] = [ord(c) for c in name]
-        for k in range(PIECE):
+        self.begun = []  # by size: hashes of what longer pieces begin with
+        for k in range(self.longest):
             hashes = np.where(codes[:, k] > 0, self.extend(hashes, codes[:, k]), hashes)
+            self.begun.append(np.unique(hashes[size > k + 1]))
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array([pieces[n] for n in names], np.int64)[order]
         assert (np.diff(self.hashes) > 0).all()
@@ -67,6 +80,11 @@ class Pieces:
         h = (hashes + chars + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         return h ^ (h >> np.uint64(32))
 
+    def begins(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        """Whether a longer piece begins with these size characters."""
+        known = self.begun[size - 1]
+        return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else np.zeros(len(hashes), bool)
+
     def lookup(self, hashes: np.ndarray, other: bool) -> np.ndarray:
         """The pieces' numbers; without a piece the unknown character if other, else -1."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -85,15 +103,14 @@ class Lattice:
         room = last[run] - np.arange(len(chars))  # characters from here to the end of the run
         hashes, found = np.zeros(len(chars), np.uint64), []
         at = np.arange(len(chars))
-        for size in range(1, PIECE + 1):
-            at = at[room[at] >= size]
-            hashes = hashes[: len(at)] if size == 1 else hashes[keep[: len(hashes)]]
+        for size in range(1, pieces.longest + 1):
             hashes = pieces.extend(hashes, chars[at + size - 1])
             piece = pieces.lookup(hashes, other=size == 1)
             hit = piece >= 0
             where = at[hit]
             found.append((run[where], begin[where], begin[where] + size, piece[hit]))
-            keep = room[at] >= size + 1
+            keep = (room[at] > size) & pieces.begins(hashes, size)
+            at, hashes = at[keep], hashes[keep]
         run, begin, end, piece = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((run, end))
         self.run, self.begin, self.end, self.piece = (x[order].astype(np.int32) for x in (run, begin, end, piece))
@@ -112,23 +129,50 @@ class Lattice:
                 alpha[i, self.run[e][new]] = np.add.reduceat(part, new, axis=0)
         return alpha
 
+    def long_forward(self, logs: np.ndarray) -> np.ndarray:
+        """forward in logarithms, for words of any length."""
+        alpha = np.full((len(self.at), len(self.length), logs.shape[1]), -np.inf)
+        alpha[0] = 0
+        for i in range(1, len(self.at)):
+            e = slice(self.at[i - 1], self.at[i])
+            new = np.flatnonzero(np.diff(self.run[e], prepend=-1))
+            if len(new):
+                part = alpha[self.begin[e], self.run[e]] + logs[self.piece[e]]
+                alpha[i, self.run[e][new]] = np.logaddexp.reduceat(part, new, axis=0)
+        return alpha
+
     def scores(self, chances: np.ndarray) -> np.ndarray:
         """(runs, languages) logarithms of the runs' chances."""
+        if self.length.max(initial=0) > LONG:
+            return self.long_forward(np.log(chances))[self.length, np.arange(len(self.length))]
         alpha = self.forward(chances)
         return np.log(np.maximum(alpha[self.length, np.arange(len(self.length))], 1e-300))
 
     def expected(self, chances: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """(pieces, languages) expected uses of each piece, if run r occurs weights[r, l] times in language l."""
+        r = np.arange(len(self.length))
+        if self.length.max(initial=0) > LONG:
+            logs = np.log(chances)
+            alpha = self.long_forward(logs)
+            beta = np.full_like(alpha, -np.inf)
+            beta[self.length, r] = 0
+            for i in range(len(self.at) - 1, 0, -1):
+                e = slice(self.at[i - 1], self.at[i])
+                np.logaddexp.at(beta, (self.begin[e], self.run[e]), beta[i, self.run[e]] + logs[self.piece[e]])
+            share = alpha[self.begin, self.run] + logs[self.piece] + beta[self.end, self.run] - alpha[self.length, r][self.run]
+            return self._uses(np.exp(share) * weights[self.run], len(chances))
         alpha = self.forward(chances)
         beta = np.zeros_like(alpha)
-        r = np.arange(len(self.length))
         beta[self.length, r] = 1
         for i in range(len(self.at) - 1, 0, -1):
             e = slice(self.at[i - 1], self.at[i])
             np.add.at(beta, (self.begin[e], self.run[e]), beta[i, self.run[e]] * chances[self.piece[e]])
         total = np.maximum(alpha[self.length, r], 1e-300)
         uses = alpha[self.begin, self.run] * chances[self.piece] * beta[self.end, self.run] / total[self.run] * weights[self.run]
-        return np.stack([np.bincount(self.piece, uses[:, k], len(chances)) for k in range(chances.shape[1])], 1)
+        return self._uses(uses, len(chances))
+
+    def _uses(self, uses: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(self.piece, uses[:, k], n) for k in range(uses.shape[1])], 1)
 
 
 class Model:
@@ -158,14 +202,13 @@ def train(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS) -> Model:
     column = {x: k for k, x in enumerate(languages)}
     weights: dict[str, np.ndarray] = {}
     for lang, word, n in zip(counts.lang, counts.word, counts.n):
-        for run in runs(word):
-            weights.setdefault(run, np.zeros(len(languages)))[column[lang]] += n
+        weights.setdefault(START + word, np.zeros(len(languages)))[column[lang]] += n
     texts = sorted(weights)
     chances = np.full((pieces.other + 1, len(languages)), 1 / (pieces.other + 1))
     for _ in range(ROUNDS):
         uses = np.zeros_like(chances)
-        for k in range(0, len(texts), 20_000):  # the lattice of all words needn't be held at once
-            part = texts[k : k + 20_000]
+        for at in portions(texts, 20_000):  # the lattice of all words needn't be held at once
+            part = [texts[i] for i in at]
             uses += Lattice(part, pieces).expected(chances, np.stack([weights[t] for t in part]))
         uses[-1] = 0  # the unknown character has the same chance everywhere
         chances = (uses + SMOOTH) / (uses + SMOOTH).sum(0)
@@ -193,14 +236,12 @@ class Scorer:
         return np.array(found, np.int64)
 
     def _learn(self, new: list[str], words: list[str]) -> np.ndarray:
-        parts = [self.table]
-        for k in range(0, len(new), 5_000):
-            some = [runs(w) for w in new[k : k + 5_000]]
-            scores = Lattice([r for x in some for r in x], self.pieces).scores(self.model.chances)
-            first = np.cumsum([0, *(len(x) for x in some)])[:-1]
-            parts.append(np.add.reduceat(scores, first, axis=0))
+        texts = [START + w for w in new]
+        scores = np.zeros((len(texts), self.table.shape[1]))
+        for at in portions(texts, 5_000):
+            scores[at] = Lattice([texts[i] for i in at], self.pieces).scores(self.model.chances)
         self.memo.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-        self.table = np.concatenate(parts)
+        self.table = np.concatenate([self.table, scores])
         return np.array([self.memo[w] for w in words], np.int64)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

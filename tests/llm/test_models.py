@@ -27,6 +27,34 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(np.log(alpha[-1]), got[k])
 
 
+def test_long_words_and_pieces_are_summed_whole():
+    import sentencepiece
+
+    names = langid.vocabulary(PATH)
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert max(map(len, names)) == max(len(model.id_to_piece(i)) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
+    chances = np.random.default_rng(1).random((len(names) + 1, 2)) * 1e-3
+    words = ["x" * 47 + "information" * 12, "representation", "ünd" * 900]
+    scorer = langid.Scorer(langid.Model(PATH, ["a", "b"], chances))
+    got = scorer.rows(words)
+    weights = np.array([[1.0, 2.0]] * len(words))
+    uses = sum(langid.Lattice([langid.START + w], scorer.pieces).expected(chances, weights[:1]) for w in words)
+    want = np.zeros_like(chances)
+    for k, w in enumerate(words):
+        t, n = langid.START + w, len(w) + 1
+        edges = [(j, i, p) for i in range(1, n + 1) for j in range(max(0, i - 16), i) if (p := names.get(t[j:i], len(names) if j == i - 1 else None)) is not None]
+        alpha, beta = np.full((n + 1, 2), -np.inf), np.full((n + 1, 2), -np.inf)
+        alpha[0] = beta[n] = 0
+        for j, i, p in edges:
+            alpha[i] = np.logaddexp(alpha[i], alpha[j] + np.log(chances[p]))
+        for j, i, p in reversed(edges):
+            beta[j] = np.logaddexp(beta[j], beta[i] + np.log(chances[p]))
+        for j, i, p in edges:
+            want[p] += np.exp(alpha[j] + np.log(chances[p]) + beta[i] - alpha[n]) * weights[0]
+        assert np.allclose(scorer.table[got[k]], alpha[n])
+    assert np.allclose(uses, want)
+
+
 def test_language_id_on_held_out_rows(spark, sf, odd, empty):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = langid.identify(docs, PATH).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
