@@ -5,35 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.joins import by_size
 from tessera.llm.workspace import Workspace
 
-#: Labels are spread this many times, so that a node with a third of all links is no one task's work.
-SALT = 8
-
 
 def components(links: DataFrame, space: Workspace) -> DataFrame:
     """(node, comp) of every node in links (a, b): comp is the least node that can be reached.
 
     Each round takes the least label among a node's neighbours, then follows the label's own
-    label (pointer jumping), so that long chains need a logarithmic number of rounds. Null ends
-    are ignored; no links give an empty table.
+    label (pointer jumping), so that long chains need a logarithmic number of rounds. Nodes and
+    labels with many rows are joined as hot groups. Null ends are ignored; no links give an empty table.
     """
     both = links.where("a is not null and b is not null and a <> b").select("a", "b")
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = space.save(both.withColumn("salt", F.abs(F.xxhash64("a") % SALT).cast("int")), "edges")
-    label = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
+    edges = space.save(both, "edges")
+    label = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"), F.count("*").alias("size"))
     label = space.save(label.withColumn("old", F.col("comp")), "labels")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
     while True:
-        spread = label.select(F.col("node").alias("b"), "comp").withColumn("salt", salts)
-        least = edges.join(spread, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = label.join(least, "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        up = step.select(F.col("node").alias("comp"), F.col("comp").alias("far")).where("comp <> far").withColumn("salt", salts)
-        step = step.withColumn("salt", F.abs(F.xxhash64("node") % SALT).cast("int"))
-        step = step.join(up, ["comp", "salt"], "left").select("node", F.coalesce("far", "comp").alias("comp"), "old")
-        new = space.save(step, "labels")
+        near = by_size(edges, label.select(F.col("node").alias("b"), "comp", "size"), "b")
+        near = near.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        step = label.join(near, "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"), "size")
+        step = space.save(step, "steps")
+        up = step.select(F.col("node").alias("comp"), F.col("comp").alias("far")).where("comp <> far")
+        shared = space.save(step.groupBy("comp").agg(F.count("*").alias("members")).join(up, "comp").withColumnRenamed("members", "size"), "ups")
+        far = by_size(step.withColumnRenamed("size", "degree"), shared, "comp", "left")
+        new = space.save(far.select("node", F.coalesce("far", "comp").alias("comp"), F.col("degree").alias("size"), "old"), "labels")
         changed = not new.where("comp <> old").isEmpty()
-        space.drop(label)
+        space.drop(label, step, shared)
         label = new
         if not changed:
             return label.select("node", "comp")

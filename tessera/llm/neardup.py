@@ -1,19 +1,22 @@
-"""Near-duplicate linking by HyperMinHash sketches, for documents and for paragraphs.
+"""Near-duplicate linking by HyperMinHash sketches, for documents, and by bands of any kind.
 
 A sketch has 128 buckets. Each keeps the least hash of a text's shingles under its own
 multiplier, compressed to 15 bits: the count of leading zeros (5 bits, at most 31) and the ten
 mantissa bits after the first one. Four registers make a 60-bit word, and each word is one band.
 
-Texts with equal shingle sets are one node from the start. Candidates come from bands that two
-nodes share. The Jaccard similarity is first estimated from the registers, corrected for chance
-collisions of compressed registers, and bounded from above by a parity sketch of the set: each
-shingle flips one of 2048 bits, so two sketches differ in no more bits than the sets do in shingles.
-Candidates that may reach the threshold are then verified on the full sets of 64-bit shingle hashes, which are computed again from the texts.
+Texts with equal shingle sets are one node from the start. A first pass counts hashed band values,
+and only nodes with a value that occurs again go on. The Jaccard similarity of two nodes of a
+bucket is first estimated from the registers, corrected for chance collisions of compressed
+registers, and bounded from above by a parity sketch of the set: each shingle flips one of 2048
+bits, so two sketches differ in no more bits than the sets do in shingles. Candidates that may
+reach the threshold are then verified on the full sets of 64-bit shingle hashes, which are
+computed again from the texts.
 
 A bucket of copies isn't expanded into pairs. First each node is held against the least node of
-each of its buckets, then what has not joined its bucket's largest component against a few
-members drawn by hash, and at last every candidate pair whose ends are still in different
-components is verified. Links inside a component can't change the components, so none is lost.
+each of its buckets, then what has not joined its bucket's largest component against a
+member drawn by hash. Of what is still in different components, small buckets' pairs are verified;
+larger buckets are refined by a second and a third band that their nodes share, until they are
+small or in one component. Links inside a component can't change the components, so none is lost.
 """
 
 from __future__ import annotations
@@ -29,27 +32,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
+from tessera.llm.joins import by_size, marked
 from tessera.llm.words import BUCKET, distinct_sets, parts, shingle_hashes, slices, word_hashes
 from tessera.llm.workspace import Workspace
 
 MANTISSA = 10
-#: Bits of a parity sketch.
-PARITY = 2048
 #: Numbers of shingles hashed at once: few enough for the processor's cache.
 CHUNK = 1 << 15
-#: Bits of the filter that tells which texts a verification needs: 1 MB, at every input size.
-FILTER_BITS = 1 << 23
+#: Nodes of a bucket that are held against one another at most; larger buckets are refined first.
+SMALL_BUCKET = 128
 #: Chance that two distinct minima of sets of n and m shingles share a register is about
 #: COLLIDE * n * m / (n + m)^2: the mean register width over its distance from zero is 1 / (2 ln 2).
 COLLIDE = 0.5 / np.log(2) / 2**MANTISSA
 
 
 class Shape(NamedTuple):
-    """bands words of lanes registers each; slack: how far below the threshold an estimate may be."""
+    """bands words of lanes registers each; parity: bits of a parity sketch; slack: how far below the threshold an estimate from the words may be, None for no estimate."""
 
     bands: int
     lanes: int
-    slack: float
+    parity: int
+    slack: float | None
 
     @property
     def buckets(self) -> int:
@@ -57,7 +60,7 @@ class Shape(NamedTuple):
 
 
 #: Documents: at a similarity of 0.75 one pair in 190,000 shares no band; the estimate's deviation is 0.038.
-DOCUMENT = Shape(32, 4, 0.15)
+DOCUMENT = Shape(32, 4, 2048, 0.15)
 
 
 def registers(hashes: np.ndarray, n: np.ndarray, buckets: int) -> np.ndarray:
@@ -86,18 +89,19 @@ def packed(regs: np.ndarray, lanes: int) -> np.ndarray:
     return (regs.reshape(len(regs), -1, lanes) << (15 * np.arange(lanes)[::-1])).sum(2)
 
 
-def parities(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(texts with shingles, PARITY / 64) words of the parity sketches of sets without repeats."""
+def parities(hashes: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
+    """(texts with shingles, bits / 64) words of the parity sketches of sets without repeats."""
     n = n[n > 0]
+    starts = np.cumsum(n) - n
     out = []
-    for k in range(0, len(n), 256):  # a few hundred sketches at once take little memory
-        some = n[k : k + 256]
-        start = int(n[:k].sum())
-        part = hashes[start : start + int(some.sum())]
-        at = np.repeat(np.arange(len(some)), some) * PARITY + (part >> np.uint64(20) & np.uint64(PARITY - 1)).astype(np.int64)
-        odd = np.bincount(at, minlength=len(some) * PARITY).reshape(len(some), PARITY) & 1
+    step = max(1, (1 << 19) // bits)  # so many sketches at once take little memory
+    for k in range(0, len(n), step):
+        some = n[k : k + step]
+        part = hashes[starts[k] : starts[k] + int(some.sum())]
+        at = np.repeat(np.arange(len(some)), some) * bits + (part >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)
+        odd = np.bincount(at, minlength=len(some) * bits).reshape(len(some), bits) & 1
         out.append(np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8"))
-    return np.concatenate(out) if out else np.zeros((0, PARITY // 64), np.int64)
+    return np.concatenate(out) if out else np.zeros((0, bits // 64), np.int64)
 
 
 def word_lists(words: np.ndarray, n: np.ndarray) -> pa.ListArray:
@@ -114,7 +118,7 @@ def _sketch(batches):
         prints = [xxhash.xxh128_digest(sets[a:b].tobytes()) if b > a else None for a, b in slices(n)]
         words = packed(registers(sets, n, DOCUMENT.buckets), DOCUMENT.lanes)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), word_lists(words, n), word_lists(parities(sets, n), n)],
+            [batch.column("key"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), word_lists(words, n), word_lists(parities(sets, n, DOCUMENT.parity), n)],
             names=["key", "n", "node", "sketch", "parity"],
         )
 
@@ -149,168 +153,181 @@ def estimate(a: Column, b: Column, n: Column, m: Column, shape: Shape) -> Column
 
 
 class Linker:
-    """Links the nodes of members (key, n, node, sketch, parity) with Jaccard similarity of at least percent / 100.
+    """Links nodes with a Jaccard similarity of at least percent / 100.
 
-    fetch gives (node, shingles) of the nodes in a table (node): their sorted 64-bit hashes.
+    nodes is a saved table: id (long, one for each row), node (fingerprint), key, n, sketch (an array
+    of band values) and parity. fetch gives (id, shingles) of the nodes in a table
+    (id, node, key): their distinct 64-bit hashes.
     """
 
-    def __init__(self, members: DataFrame, fetch: Callable[[DataFrame, DataFrame], DataFrame], space: Workspace, percent: int, shape: Shape):
+    def __init__(self, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], space: Workspace, percent: int, shape: Shape):
         self.space, self.percent, self.shape, self.fetch = space, percent, shape, fetch
-        self.members = members
-        nodes = self.members.where("node is not null").groupBy("node").agg(
-            F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")
-        )
-        self.nodes = space.save(nodes, "nodes")
-        bands = self.nodes.select("node", "key", F.posexplode("sketch").alias("band", "value"))
+        self.columns = ["n", "parity"] if shape.slack is None else ["n", "parity", "sketch"]
+        bands = self.bands(nodes)
+        repeated = space.save(bands.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "repeated")
+        found = space.save(by_size(bands, repeated, "h"), "found")
+        space.drop(repeated)
+        space.sweep()
+        ids = space.save(found.groupBy("id").agg(F.xxhash64("id").alias("h")), "ids")
+        # only nodes that share a value are needed from here on
+        active = marked(nodes, F.col("id"), ids.select("h"))
+        self.active = space.save(active.where("passed").drop("passed"), "active")
         # the least key: an original tends to stand before its copies
-        full = bands.groupBy("band", "value").agg(F.min(F.struct("key", "node")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-        full = full.select("band", "value", F.col("pivot.node").alias("pivot"))
-        self.buckets = space.save(bands.join(full, ["band", "value"]).select("band", "value", "node", "pivot"), "buckets")
-        self.links = None
-
-    def fits(self, n: Column, m: Column) -> Column:
-        return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
+        keyed = found.join(self.active.select("id", "key"), "id")
+        pivots = keyed.groupBy("h").agg(F.min(F.struct("key", "id"))["id"].alias("pivot"), F.count("*").alias("size"))
+        pivots = space.save(pivots, "pivots")
+        self.buckets = space.save(by_size(found, pivots, "h"), "buckets")
+        space.drop(found, ids, pivots)
+        space.sweep()
+        self.labels = None
+
+    def bands(self, nodes: DataFrame, *more: str) -> DataFrame:
+        values = nodes.select("id", *more, F.posexplode("sketch").alias("band", "value"))
+        return values.select("id", *more, F.xxhash64("band", "value").alias("h"))
 
     def likely(self) -> Column:
-        guess = estimate(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), self.shape)
-        differ = reduce(lambda p, q: p + q, (F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in range(PARITY // 64)))
-        total = F.col("n_a") + F.col("n_b")
-        may = 100 * (total - differ) >= self.percent * (total + differ)
-        return self.fits(F.col("n_a"), F.col("n_b")) & may & (guess >= self.percent / 100 - self.shape.slack)
+        n, m = F.col("n_a"), F.col("n_b")
+        fits = 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
+        words = range(self.shape.parity // 64)
+        differ = reduce(lambda p, q: p + q, (F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in words))
+        may = fits & (100 * (n + m - differ) >= self.percent * (n + m + differ))
+        if self.shape.slack is None:
+            return may
+        return may & (estimate(F.col("sketch_a"), F.col("sketch_b"), n, m, self.shape) >= self.percent / 100 - self.shape.slack)
 
     def ends(self, end: str) -> DataFrame:
-        return self.nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "sketch", "parity")))
+        return self.active.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in self.columns))
 
     def screen(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs that sizes and estimates leave."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = self.space.save(pairs.select("a", "b").distinct(), "pairs")
         return pairs.join(self.ends("a"), "a").join(self.ends("b"), "b").where(self.likely()).select("a", "b")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Those of the screened pairs whose full sets reach the threshold."""
-        pairs = self.space.save(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        found = self.fetch(wanted, self.nodes)
-        found = self.space.save(found, "sets")
-        both = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
-        both = both.join(found.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b").select("a", "b", "s", "t")
-        percent = self.percent
-
-        def keep(frames):
-            for f in frames:
-                ok = np.zeros(len(f), bool)
-                for i, (s, t) in enumerate(zip(f.s, f.t)):
-                    x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                    if len(x) > len(y):
-                        x, y = y, x
-                    at = np.searchsorted(y, x)
-                    same = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                    ok[i] = 100 * same >= percent * (len(x) + len(y) - same)
-                yield f.loc[ok, ["a", "b"]]
-
-        links = self.space.save(both.mapInPandas(keep, "a binary, b binary"), "links")
-        self.space.drop(found, pairs)
+        pairs = self.space.save(pairs, "screened")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = self.space.save(self.active.select("id", "node", "key").join(wanted, "id"), "wanted")
+        found = self.space.save(self.fetch(wanted), "sets")
+        both = pairs.join(found.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a")
+        both = both.join(found.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
+        both = both.select("a", "b", (F.size("s") + F.size("t")).alias("total"), F.size(F.array_intersect("s", "t")).alias("common"))
+        links = self.space.save(both, "compared").where(100 * F.col("common") >= self.percent * (F.col("total") - F.col("common"))).select("a", "b")
+        self.space.drop(found, pairs, wanted)
+        self.space.sweep()
         return links
 
     def add(self, links: DataFrame) -> None:
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.labels = components(self.links, self.space)
-
-    def labelled(self) -> DataFrame:
-        """Buckets whose nodes are in more than one component, with each node's component."""
-        b = self.buckets.select("band", "value", "node").join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = b.groupBy("band", "value").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
-        return self.space.save(b.join(mixed.select("band", "value"), ["band", "value"]), "mixed")
-
-    def run(self, draws: int = 1) -> DataFrame:
-        """(node, comp) of the nodes that have a link."""
-        self.add(self.verify(self.screen(self.buckets.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))))
-        mixed = self.labelled()
-        if mixed.isEmpty():
-            return self.labels
-        drawn = mixed.groupBy("band", "value").agg(
-            *(F.expr(f"min_by(struct(node, comp), xxhash64(node, {k}))").alias(f"d{k}") for k in range(draws))
-        )
-        drawn = drawn.select("band", "value", F.explode(F.array(*(f"d{k}" for k in range(draws)))).alias("d"))
-        some = mixed.join(drawn, ["band", "value"]).where("comp <> d.comp").select(F.col("node").alias("a"), F.col("d.node").alias("b"))
-        new = self.verify(self.screen(some))
-        if not new.isEmpty():
-            self.add(new)
-            self.space.drop(mixed)
-            mixed = self.labelled()
-        new = self.verify(self.rest(mixed))
-        if not new.isEmpty():
-            self.add(new)
+        """Components of the links up to now; those known before are stars around their labels."""
+        if self.labels is not None:
+            links = links.unionByName(self.labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+        self.labels = components(links, self.space)
+
+    def mixed(self, buckets: DataFrame) -> DataFrame:
+        """Rows (h, id, comp) of the buckets whose nodes are in more than one component, and their sizes."""
+        rows = buckets.select("h", "id").join(self.labels, F.col("id") == F.col("node"), "left").select("h", "id", F.coalesce("comp", "id").alias("comp"))
+        rows = self.space.save(rows, "labelled")
+        sizes = rows.groupBy("h").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size"))
+        sizes = self.space.save(sizes.where("least <> most").select("h", "size", F.col("size").alias("n_bucket")), "sizes")
+        return self.space.save(by_size(rows, sizes, "h"), "mixed")
+
+    def run(self) -> DataFrame:
+        """(node, comp) of the ids of nodes that have a link."""
+        self.add(self.verify(self.screen(self.buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))))
+        mixed = self.mixed(self.buckets)
+        large = mixed.where(F.col("n_bucket") > SMALL_BUCKET)
+        if not large.isEmpty():
+            drawn = large.groupBy("h").agg(F.expr("min_by(struct(id, comp), xxhash64(id))").alias("d"), F.count("*").alias("size"))
+            drawn = self.space.save(drawn, "drawn")
+            some = by_size(large, drawn, "h").where("comp <> d.comp").select(F.col("id").alias("a"), F.col("d.id").alias("b"))
+            new = self.verify(self.screen(some))
+            if not new.isEmpty():
+                self.add(new)
+                mixed = self.mixed(mixed)
+        for depth in range(3):
+            small = mixed if depth == 2 else mixed.where(F.col("n_bucket") <= SMALL_BUCKET)
+            new = self.verify(self.inside(small))
+            if not new.isEmpty():
+                self.add(new)
+            large = mixed.where(F.col("n_bucket") > SMALL_BUCKET)
+            if depth == 2 or large.isEmpty():
+                return self.labels
+            mixed = self.mixed(self.refined(self.mixed(large)))
         return self.labels
 
-    def rest(self, mixed: DataFrame) -> DataFrame:
-        """All screened pairs of one bucket whose ends are in different components, each from its first common band.
+    def refined(self, mixed: DataFrame) -> DataFrame:
+        """(h, id): buckets of the nodes that share a bucket of mixed and another band's value."""
+        held = self.active.select("id", "sketch").join(mixed.select("id", F.col("h").alias("outer")), "id")
+        rows = self.bands(held, "outer").where("h <> outer").select("id", F.xxhash64(F.least("h", "outer"), F.greatest("h", "outer")).alias("h"))
+        rows = self.space.save(rows.distinct(), "refined")
+        sizes = self.space.save(rows.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "repeated")
+        return by_size(rows, sizes, "h")
 
-        Within a bucket the largest component's nodes needn't meet one another: the left side
-        has all other nodes. Both sides of a bucket of any size are dealt out again by salts.
-        """
-        sizes = mixed.groupBy("band", "value", "comp").agg(F.count("*").alias("size"))
-        most = sizes.groupBy("band", "value").agg(F.expr("max_by(comp, struct(size, comp))").alias("main"), F.sum("size").alias("size"))
-        most = most.withColumn("salts", F.least(F.lit(64), 1 + F.floor(F.col("size") / 256)).cast("int"))
-        rows = mixed.join(most, ["band", "value"])
-        left = rows.where("comp <> main").withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
-        right = rows.withColumn("salt", F.expr("pmod(xxhash64(node), salts)").cast("int"))
-
-        def side(rows: DataFrame, end: str) -> DataFrame:
-            rows = rows.join(self.nodes.select("node", "n", "sketch", "parity"), "node")
-            return rows.select(*(F.col(c).alias(f"{c}_{end}") for c in ("band", "value", "salt", "node", "comp", "main", "n", "sketch", "parity")))
+    def inside(self, mixed: DataFrame) -> DataFrame:
+        """Pairs (a, b) of one bucket whose ends are in different components; the largest component's nodes needn't meet one another.
 
-        same_bucket = reduce(lambda p, q: p & q, (F.col(f"{c}_a") == F.col(f"{c}_b") for c in ("band", "value", "salt")))
-        once = (F.col("comp_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
-        first = reduce(lambda p, q: p & q, ((F.col("band_a") <= k) | (F.col("sketch_a")[k] != F.col("sketch_b")[k]) for k in range(self.shape.bands)))
-        met = same_bucket & (F.col("comp_a") != F.col("comp_b")) & once & self.likely() & first
-        pairs = side(left, "a").join(side(right, "b"), met)
-        return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+        Only buckets that three bands have in common, 12 registers of documents, may be large here;
+        each side of a bucket is dealt out by salts. Screening is part of the join.
+        """
+        sizes = mixed.groupBy("h", "comp").agg(F.count("*").alias("size")).groupBy("h").agg(F.expr("max_by(comp, struct(size, comp))").alias("main"), F.sum("size").alias("size"))
+        rows = by_size(mixed, self.space.save(sizes, "mains"), "h").withColumn("salts", F.ceil(F.col("n_bucket") / SMALL_BUCKET).cast("int"))
+        rows = rows.join(self.active.select("id", *self.columns), "id")
 
+        def side(rows: DataFrame, end: str, *more) -> DataFrame:
+            return rows.select("h", F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("comp", *self.columns)), *more)
 
-def _bit() -> Column:
-    """A key's place in the filter, from 1 as Spark's bitmap functions count."""
-    return 1 + F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+        left = side(rows.where("comp <> main"), "a", "main", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
+        right = side(rows, "b", F.expr("pmod(xxhash64(id), salts)").cast("int").alias("salt"))
+        met = (F.col("l.h") == F.col("r.h")) & (F.col("l.salt") == F.col("r.salt")) & F.expr("comp_a <> comp_b and (comp_b = main or a < b)") & self.likely()
+        return left.alias("l").join(right.alias("r"), met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 class TextSets:
-    """Shingle sets of wanted nodes, computed again from the texts; only a filter of fixed size is sent to the scan."""
+    """Shingle sets of wanted nodes, computed again from the texts of the rows that a filter of their keys lets pass."""
 
     def __init__(self, items: DataFrame):
         self.items = items
 
-    def __call__(self, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
-        keys = nodes.join(wanted, "node").select(_bit().alias("bit"))
-        filled = keys.groupBy(F.expr("bitmap_bucket_number(bit)").alias("part")).agg(
-            F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")
-        ).collect()  # at most FILTER_BITS / 32768 rows of 4 KB
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for part, some in filled:
-            bits[(part - 1) * 4096 : part * 4096] = np.frombuffer(bytes(some), np.uint8)
-        sent = self.items.sparkSession.sparkContext.broadcast(bits)
-
+    def __call__(self, wanted: DataFrame) -> DataFrame:
         def sets(batches):
             for batch in (p for b in batches for p in parts(b)):
-                bit = batch.column("bit").to_numpy() - 1
-                batch = batch.filter(pa.array((sent.value[bit >> 3] >> (bit & 7) & 1).astype(bool)))
-                if not batch.num_rows:
-                    continue
                 hashes, n = distinct_sets(*shingle_hashes(*word_hashes(batch.column("text").to_pylist())))
-                each = [hashes[a:b].tobytes() for a, b in slices(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh128_digest(p) if p else None for p in each], pa.binary()), pa.array(each, pa.binary())],
-                    names=["node", "shingles"],
-                )
+                prints = [xxhash.xxh128_digest(hashes[a:b].tobytes()) if b > a else None for a, b in slices(n)]
+                lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int64()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), lists.cast(pa.list_(pa.int64()))], names=["node", "shingles"])
+
+        rows = marked(self.items, F.col("key"), wanted.select(F.xxhash64("key").alias("h"))).where("passed").select("text")
+        found = rows.mapInArrow(sets, "node binary, shingles array<long>")
+        # rows that repeat a text bring its set again
+        return found.join(wanted.select("node", "id"), "node").groupBy("id").agg(F.first("shingles").alias("shingles"))
+
 
-        found = self.items.select(_bit().alias("bit"), "text").mapInArrow(sets, "node binary, shingles binary")
-        return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+def clusters(members: DataFrame, nodes: DataFrame, labels: DataFrame, space: Workspace) -> DataFrame:
+    """members (with node, its fingerprint) with cluster, the least key of its component, null where no other key is in it.
+
+    nodes: id, node, key, last (the most key), size (its members); labels: (node, comp) of linked ids.
+    """
+    rows = nodes.select("id", "node", "key", "last", "size").join(labels.withColumnRenamed("node", "of"), F.col("id") == F.col("of"), "left")
+    rows = space.save(rows.withColumn("comp", F.coalesce("comp", "id")).select("node", "comp", "key", "last", F.col("size").alias("rows")), "nodes-labelled")
+    least = rows.groupBy("comp").agg(
+        F.min("key").alias("cluster"), F.max("last").alias("last_key"), F.sum("rows").alias("total"), F.count("*").alias("size"))
+    least = space.save(least.where("total > 1 or size > 1").select("comp", "cluster", "last_key", "size"), "least")
+    groups = by_size(rows.select("node", "comp", F.col("rows")), least, "comp").select("node", "cluster", "last_key", F.col("rows").alias("size"))
+    return by_size(members, space.save(groups, "groups"), "node", "left")
 
 
 def near_duplicates(items: DataFrame, space: Workspace, percent: int = 75) -> DataFrame:
-    """(key, n, node, comp) of each row of items (key, text).
+    """(key, n, cluster) of each row of items (key, text).
 
-    comp is the node's component, the node itself without links, and null for texts without words.
+    cluster is the least key that links and equal shingle sets reach; it is null for rows that reach
+    no other row and for texts without words.
     """
     members = space.save(sketches(items), "sketches")
-    labels = Linker(members, TextSets(items), space, percent, DOCUMENT).run()
-    return members.select("key", "n", "node").join(labels, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))
+    nodes = members.where("node is not null").groupBy("node").agg(
+        F.min("key").alias("key"), F.max("key").alias("last"), F.count("*").alias("size"),
+        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"),
+    )
+    nodes = space.save(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    space.sweep()
+    labels = Linker(nodes, TextSets(items), space, percent, DOCUMENT).run()
+    return clusters(members.select("key", "n", "node"), nodes, labels, space).select("key", "n", "cluster")

@@ -6,6 +6,8 @@ are concerned. ``bytes.lower`` and ``bytes.split`` have exactly these two rules.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,9 +46,12 @@ def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray
     """Hashes of all words of all texts, one after the other, and the number of words of each."""
     lists = [() if t is None else t.encode().lower().split() if lower else t.encode().split() for t in texts]
     counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    get = _hashes.__getitem__
-    flat = np.fromiter((get(w) for ws in lists for w in ws), np.uint64, int(counts.sum()))
-    return flat, counts
+    return list_hashes(lists, int(counts.sum())), counts
+
+
+def list_hashes(lists: list[list[bytes]], total: int) -> np.ndarray:
+    """Hashes of the words of lists, one after the other."""
+    return np.fromiter(map(_hashes.__getitem__, chain.from_iterable(lists)), np.uint64, total)
 
 
 def shingle_hashes(flat: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +90,18 @@ def distinct_sets(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes[new], total[ends] - total[ends - n]
 
 
+_kept: dict[str, object] = {}
+
+
+def worker(name: str, make):
+    """What a Python worker keeps between batches, made once for each name; only the last name's is kept, so operators' memos never add up."""
+    if name not in _kept:
+        _kept.clear()
+        _hashes.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def slices(n: np.ndarray):
     ends = np.cumsum(n)
     return zip((ends - n).tolist(), ends.tolist())

@@ -6,6 +6,7 @@ reach it, lost executors lose nothing, and the reread table has statistics for t
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where the setting is unset."""
+    """The cluster's checkpoint folder; where it is unset, a folder of our own on a single machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.gettempdir()}/tessera-shared"
     return folder.rstrip("/")
 
@@ -43,6 +46,11 @@ class Workspace:
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
         for table in tables:
-            for name in table.inputFiles():
-                at = jvm.org.apache.hadoop.fs.Path(name)
-                at.getFileSystem(conf).delete(at, False)
+            for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+                at = jvm.org.apache.hadoop.fs.Path(folder)
+                at.getFileSystem(conf).delete(at, True)
+
+    def sweep(self) -> None:
+        """Have Spark remove the shuffle files of plans that are done: it does so once their objects are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()

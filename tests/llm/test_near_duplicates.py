@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
 from tessera.llm import minhash_dedup, neardup, substring_dedup
@@ -70,7 +71,7 @@ def test_registers_estimate_and_parity_bound():
     n = np.array([350, 350])
     regs = neardup.registers(np.concatenate([x, y]), n, 128)
     assert abs((regs[0] == regs[1]).mean() - 300 / 400) < 0.16
-    p = neardup.parities(np.concatenate([x, y]), n)
+    p = neardup.parities(np.concatenate([x, y]), n, 2048)
     assert sum(bin(int(v) & (2**64 - 1)).count("1") for v in p[0] ^ p[1]) <= 100
     assert regs.max() < 2**15
 
@@ -106,6 +107,70 @@ def test_passages_wherever_they_stand(spark, odd, empty):
 
 
 def test_paragraphs_cover_the_text():
-    for text in ("", "a", "One. Two.\n\nThree! ", prose(9, 300), "x" * 5000, "..."):
-        spans = substring_dedup.paragraphs(text)
-        assert "".join(text[a:b] for a, b in spans) == text
+    for text in ("", "a", "One. Two.\n\nThree! ", prose(9, 300), "x" * 5000, "...", "Ünïcödé wörds. " * 9):
+        raw = text.encode()
+        spans, words = substring_dedup.cut(raw)
+        assert b"".join(raw[a:b] for a, b in spans) == raw
+        assert [w for ws in words for w in ws] == raw.lower().split()
+        at = substring_dedup._characters(raw, np.array(spans, np.int64).reshape(-1, 2))
+        assert "".join(text[a:b] for a, b in at.tolist()) == text
+
+
+def brute_passages(texts, percent=75):
+    """Clusters of paragraphs by comparing all of them, then runs of those that have a partner."""
+    rows = [(d, k, len(w), {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}) for d, t in texts for k, w in enumerate(substring_dedup.cut((t or "").encode())[1]) if w]
+    shared = {}
+    for i, row in enumerate(rows):
+        for s in row[3]:
+            shared.setdefault(s, []).append(i)
+    both = Counter((i, j) for at in shared.values() for i in at for j in at if i < j)
+    paired = {x for (i, j), n in both.items() if 100 * n >= percent * (len(rows[i][3]) + len(rows[j][3]) - n) for x in (i, j)}
+    out, run = [], []
+    for i in sorted(paired):
+        if run and (rows[run[-1]][0] != rows[i][0] or rows[run[-1]][1] + 1 != rows[i][1]):
+            out.append(run)
+            run = []
+        run.append(i)
+    return Counter((rows[r[0]][0], sum(rows[i][2] for i in r), len(r)) for r in [*out, run] if r and sum(rows[i][2] for i in r) >= 25)
+
+
+def test_passages_equal_brute_force(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    texts = [(x.doc_id, x.text) for x in spark.read.parquet(path).select("doc_id", "text").collect()]
+    want = brute_passages(texts)
+    got = Counter((x.doc_id, x.n_words, x.n_paragraphs) for x in substring_dedup.passages(spark.read.parquet(path)).collect())
+    assert (got & want).total() >= 0.98 * want.total() and (got - want).total() <= 0.02 * want.total()
+
+
+def test_large_buckets_are_refined(spark, monkeypatch):
+    """Nodes that share one band by chance, in groups that link only inside, get the same groups as all pairs."""
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr("tessera.llm.joins.LEAST_HOT", 3)
+    r, texts = random.Random(8), []
+    common = prose(99, 60).replace("\n", " ")
+    for group in range(5):
+        own = prose(group, 80).split(" ")
+        for k in range(8):
+            words = own[:]
+            words[r.randrange(len(words))] = f"zulu{k}"
+            texts.append((group * 100 + k, common + " " + " ".join(words)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash_dedup.dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == brute(texts)
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Rows are told apart by doc_id and text."""
+    t, other = prose(11, 80), prose(12, 80)
+    rows = [(5, t), (5, t), (6, other), (6, t), (7, None), (7, None), (None, other)]
+    kept = minhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.text == t) for x in kept if x.text) == [(5, True), (6, False)] and len(kept) == 4
+
+
+def test_more_keys_than_a_filter_holds_give_the_same_rows(spark):
+    from tessera.llm.joins import marked
+
+    rows = spark.range(1000)
+    keys = spark.range(0, 1000, 7).select(F.xxhash64("id").alias("h"))
+    few = {x.id for x in marked(rows, F.col("id"), keys).where("passed").collect()}
+    assert set(range(0, 1000, 7)) <= few and len(few) < 200
+    assert marked(rows, F.col("id"), keys, most=10).where("passed").count() == 1000
