@@ -1,35 +1,42 @@
 """Packing token ids into windows by non-negative least squares (operator 2).
 
 Documents become ids, and ids are cut into pieces: whole windows, and one rest for each document.
-The histogram of piece lengths, in steps of a few tokens, is all that the driver sees. Combinations
-of at most three lengths that fill a window exactly are enumerated; non-negative least squares
-finds how often each is repeated; the counts are rounded down to what the histogram has, and the
-pieces that are left over are packed greedily, again on the histogram. The plan has a bounded
-number of rows whatever the input, and each piece finds its sequence by its rank in its bin.
+The histogram of lengths is all that the driver sees. Combinations of at most three lengths, in
+steps of eight tokens, that fill a window are enumerated; non-negative least squares finds how
+often each is repeated; the counts are rounded to what the histogram has. What is left over is
+packed greedily by exact lengths, and a piece that doesn't fit is cut, so that windows are full.
+
+The plan is a list of runs: pieces of one length, from one rank to another, and the sequences and
+places that they go to. It has a bounded number of rows whatever the input, and as lengths are
+exact in it, a piece finds its sequence and offset by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.joins import marked
 from tessera.llm.tokens import encoder
 from tessera.llm.words import parts
 from tessera.llm.workspace import Workspace
 
 WINDOW = 2048
-#: Tokens that a bin's lengths are rounded up to: a piece wastes less than this.
+#: Tokens that lengths are rounded up to where combinations are solved for: a piece of these wastes less than this.
 STEP = 8
-#: Parts that a bin's pieces are ranked in, so that one length of a third of all rows is spread.
+#: Parts that a length's pieces are ranked in, so that one length of a third of all rows is spread.
 SALTS = 256
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens) of the ids of each document with its end id.
 
-    ids holds little-endian unsigned 32-bit integers. A null or empty text has its end id alone.
+    ids holds little-endian unsigned 32-bit integers. A null or empty text has its end id alone;
+    repeated rows are documents of their own; other columns of docs are left out.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -101,86 +108,167 @@ def nnls(a: np.ndarray, y: np.ndarray, rounds: int = 1000) -> np.ndarray:
     return x
 
 
-def plan(histogram: dict[int, int], units: int) -> list[tuple[list[int], int]]:
-    """Patterns of bins and how often each is used; together they use every piece exactly once."""
-    left = np.zeros(units + 1, np.int64)
-    for unit, n in histogram.items():
-        left[unit] = n
-    if not left.sum():
-        return []
-    patterns: list[tuple[list[int], int]] = []
-    if left[units]:  # pieces that fill a window need no partner
-        patterns.append(([units], int(left[units])))
-        left[units] = 0
-    total = int(left.sum())
-    if total:
+class Run(NamedTuple):
+    """Pieces of a length with ranks lo to hi: from token cut_from on, cut_len tokens go u to a sequence from first on, one after the other from base."""
+
+    length: int
+    lo: int
+    hi: int
+    cut_from: int
+    cut_len: int
+    k0: int
+    u: int
+    first: int
+    base: int
+
+
+class Stock:
+    """Pieces by what is left of them: runs of ranks of an original length, cut at some token."""
+
+    def __init__(self, histogram: dict[int, int], window: int):
+        self.count = np.zeros(window + 1, np.int64)
+        self.parts: list[list[tuple[int, int, int, int]]] = [[] for _ in range(window + 1)]
+        for length, n in histogram.items():
+            self.put(length, (length, 0, n, 0))
+
+    def put(self, left: int, part: tuple[int, int, int, int]) -> None:
+        self.parts[left].append(part)
+        self.count[left] += part[2] - part[1]
+
+    def take(self, left: int, n: int) -> list[tuple[int, int, int, int]]:
+        out = []
+        self.count[left] -= n
+        while n:
+            length, lo, hi, at = self.parts[left].pop()
+            some = min(n, hi - lo)
+            if some < hi - lo:
+                self.parts[left].append((length, lo + some, hi, at))
+            out.append((length, lo, lo + some, at))
+            n -= some
+        return out
+
+
+def plan(histogram: dict[int, int], window: int, step: int = STEP) -> list[Run]:
+    """Where the pieces of each length (1 to window) go; every token of each in exactly one run."""
+    stock, runs, first = Stock(histogram, window), [], 0
+
+    def emit(pattern: list[tuple[int, int, int]], n: int) -> None:
+        """n sequences of (length left, how many of them, tokens of each); what is cut off goes back."""
+        nonlocal first
+        base = 0
+        for left, u, size in pattern:
+            k = 0
+            for length, lo, hi, at in stock.take(left, u * n):
+                runs.append(Run(length, lo, hi, at, size, k, u, first, base))
+                k += hi - lo
+                if size < left:
+                    stock.put(left - size, (length, lo, hi, at + size))
+            base += u * size
+        first += n
+
+    if stock.count[window]:  # pieces that fill a window need no partner
+        emit([(window, 1, window)], int(stock.count[window]))
+    units = window // step
+    total = int(stock.count.sum())
+    if total and units > 1 and window % step == 0:
+        bins = np.zeros(units, np.int64)
+        np.add.at(bins, (np.arange(1, window + 1) - 1) // step, stock.count[1:])
         a = combinations(units)[:-1, 1:]
-        x = nnls(a, left[1:units] / total) * total
+        x = nnls(a, bins[:-1] / total) * total
         for j in np.argsort(-x, kind="stable"):
             if x[j] < 1:
                 break
             uses = a[:, j].astype(np.int64)
             at = np.flatnonzero(uses)
-            n = int(min(round(x[j]), (left[at + 1] // uses[at]).min()))
-            if n:
-                left[at + 1] -= n * uses[at]
-                patterns.append(([int(u) + 1 for u in at for _ in range(uses[u])], n))
-    while left.any():
-        pattern: list[int] = []
-        free, rest = units, left.copy()
+            n = int(min(round(x[j]), (bins[at] // uses[at]).min()))
+            if not n:
+                continue
+            bins[at] -= n * uses[at]
+            sides = []
+            for b in (int(b) for b in at for _ in range(uses[b])):  # exact lengths of each place, the longest first
+                side, want = [], n
+                for left in range((b + 1) * step, b * step, -1):
+                    taken = sum(m for other in sides for x_left, m in other if x_left == left)
+                    some = min(want, int(stock.count[left]) - taken)
+                    if some > 0:
+                        side.append((left, some))
+                        want -= some
+                sides.append(side)
+            done = 0
+            at_run, used = [0] * len(sides), [0] * len(sides)
+            while done < n:  # lengths change at different sequences in the places
+                some = min(side[i][1] - u for side, i, u in zip(sides, at_run, used))
+                emit([(side[i][0], 1, side[i][0]) for side, i in zip(sides, at_run)], some)
+                done += some
+                for k, side in enumerate(sides):
+                    used[k] += some
+                    if used[k] == side[at_run[k]][1]:
+                        at_run[k], used[k] = at_run[k] + 1, 0
+    while stock.count.any():
+        pattern, free, rest = [], window, stock.count.copy()
         while free:
             fits = np.flatnonzero(rest[: free + 1])
-            if not len(fits):
-                break
-            unit = int(fits[-1])
-            n = min(free // unit, int(rest[unit]))
-            pattern += [unit] * n
-            rest[unit] -= n
-            free -= n * unit
-        uses = np.bincount(pattern, minlength=units + 1)
+            if len(fits):
+                left = int(fits[-1])
+                u = min(free // left, int(rest[left]))
+                pattern.append((left, u, left))
+            else:
+                longer = np.flatnonzero(rest)
+                if not len(longer):
+                    break
+                left, u = int(longer[-1]), 1
+                pattern.append((left, 1, free))
+            rest[left] -= u
+            free -= u * pattern[-1][2]
+        uses = np.zeros(window + 1, np.int64)
+        for left, u, _ in pattern:
+            uses[left] += u
         at = np.flatnonzero(uses)
-        n = int((left[at] // uses[at]).min())
-        left -= n * uses
-        patterns.append((pattern, n))
-    return patterns
+        emit(pattern, int((stock.count[at] // uses[at]).min()))
+    return runs
 
 
-def pack(pieces: DataFrame, space: Workspace, window: int = WINDOW, step: int = STEP) -> DataFrame:
-    """pieces (with doc_id, start, length of 1 to window, any other columns) with sequence_id and offset.
+def place(pieces: DataFrame, space: Workspace, window: int = WINDOW, step: int = STEP) -> DataFrame:
+    """pieces, a saved table (piece, a number of its own; length, 1 to window; any other columns), with cut_from, cut_len, sequence_id and offset.
 
-    Each sequence has at most window tokens, without gaps from offset 0. Which of several pieces of
-    one bin goes where follows doc_id and start. An empty table gives an empty result.
+    A piece has a row for each part that it is cut into. Each sequence has at most window tokens,
+    without gaps from offset 0. Which of several pieces of one length goes where follows the pieces'
+    numbers. An empty table gives an empty result.
     """
-    spark = space.spark
-    units = -(-window // step)
-    binned = space.save(pieces.withColumn("_bin", F.ceil(F.col("length") / step).cast("int")).withColumn(
-        "_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")), "pieces")
-    counts = binned.groupBy("_bin", "_salt").agg(F.count("*").alias("n"))
-    before = counts.withColumn("_before", F.sum("n").over(Window.partitionBy("_bin").orderBy("_salt")) - F.col("n")).drop("n")
-    histogram = {r["_bin"]: r["n"] for r in counts.groupBy("_bin").agg(F.sum("n").alias("n")).collect()}  # one row per bin
-    rows, first, taken = [], 0, dict.fromkeys(range(units + 1), 0)
-    for pattern, n in plan(histogram, units):
-        for place, unit in enumerate(pattern):
-            rows.append((unit, taken[unit], taken[unit] + n, first - taken[unit], place))
-            taken[unit] += n
-        first += n
-    slots = spark.createDataFrame(rows, "_bin int, _from long, _to long, _shift long, _place int").coalesce(1)
-    order = Window.partitionBy("_bin", "_salt").orderBy("doc_id", "start", "length")
-    ranked = binned.withColumn("_rank", F.row_number().over(order)).join(F.broadcast(before), ["_bin", "_salt"])
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("piece"), F.lit(SALTS)).cast("int"))
+    counts = space.save(salted.groupBy("length", "_salt").agg(F.count("*").alias("n")), "counts")
+    before = counts.withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).drop("n")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row per length
+    runs = [tuple(map(int, r)) for r in plan(histogram, window, step)]
+    slots = space.spark.createDataFrame(runs, "length long, lo long, hi long, cut_from long, cut_len long, k0 long, u long, first long, base long").coalesce(1)
+    order = Window.partitionBy("length", "_salt").orderBy("piece")
+    ranked = salted.withColumn("_rank", F.row_number().over(order)).join(before, ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before") - 1)
-    # the plan's rows are bounded by the bins and the combinations' size, not by the input
-    found = ranked.join(F.broadcast(slots), "_bin").where("_rank >= _from and _rank < _to").withColumn("sequence_id", F.col("_rank") + F.col("_shift"))
-    ahead = Window.partitionBy("sequence_id").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0).cast("long")))
-    return found.select(*pieces.columns, "sequence_id", "offset")
+    # the plan's rows are bounded by the lengths and the combinations' size, not by the input
+    found = ranked.join(F.broadcast(slots), "length").where("_rank >= lo and _rank < hi").withColumn("_k", F.expr("k0 + _rank - lo"))
+    return found.select(*pieces.columns, "cut_from", "cut_len", F.expr("first + _k div u").alias("sequence_id"), F.expr("base + (_k % u) * cut_len").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
-    """The pieces of all documents with their ids and places; other columns of docs are ignored."""
-    return pack(token_pieces(docs, path, end_id, window), Workspace(docs.sparkSession, "packing"), window)
+def pack_documents(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, step: int = STEP) -> DataFrame:
+    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): the pieces of all documents, as token_pieces states, and their places."""
+    space = Workspace(docs.sparkSession, "packing")
+    pieces = space.save(token_pieces(docs, path, end_id, window).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    placed = place(pieces.select("piece", "length"), space, window, step).select("piece", "cut_from", "cut_len", "sequence_id", "offset")
+    ids = F.expr("substring(ids, cast(4 * cut_from + 1 as int), cast(4 * cut_len as int))")
+    found = pieces.join(placed, "piece").withColumn("ids", ids)
+    return found.select("doc_id", (F.col("start") + F.col("cut_from")).alias("start"), F.col("cut_len").alias("length"), "ids", "doc_tokens", "sequence_id", "offset")
 
 
-def piece_digests(docs: DataFrame, path: str) -> DataFrame:
-    """As pack_documents, with a checksum of each piece's ids instead of them."""
-    pieces = token_pieces(docs, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(pieces, Workspace(docs.sparkSession, "packing"))
+def piece_digests(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, step: int = STEP) -> DataFrame:
+    """As pack_documents, with ids_crc32, a checksum of each piece's ids, instead of them: only ids of pieces that are cut move."""
+    space = Workspace(docs.sparkSession, "packing")
+    pieces = token_pieces(docs, path, end_id, window).withColumn("ids_crc32", F.crc32("ids")).withColumn("piece", F.monotonically_increasing_id())
+    pieces = space.save(pieces.withColumn("ids", F.when(F.col("length") < window, F.col("ids"))), "pieces")
+    placed = space.save(place(pieces.drop("ids"), space, window, step), "placed")
+    cut = placed.where("cut_len < length").drop("ids_crc32")
+    numbers = space.save(cut.select(F.xxhash64("piece").alias("h")).distinct(), "cut")
+    ids = marked(pieces.where(F.col("length") < window).select("piece", "ids"), F.col("piece"), numbers).where("passed").drop("passed")
+    part = F.expr("substring(ids, cast(4 * cut_from + 1 as int), cast(4 * cut_len as int))")
+    cut = cut.join(ids, "piece").withColumn("ids_crc32", F.crc32(part)).select(placed.columns)
+    found = placed.where("cut_len = length").unionByName(cut)
+    return found.select("doc_id", (F.col("start") + F.col("cut_from")).alias("start"), F.col("cut_len").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")

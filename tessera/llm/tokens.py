@@ -1,6 +1,7 @@
 """Token ids of whole texts by a public vocabulary file, with a memo of chunks.
 
-The ids are those of the tokenizers library for the whole text. Byte-level and word-level BPE
+The ids are those of the tokenizers library for the whole text, with its defaults: the strings of
+special tokens in a text become these tokens. Byte-level and word-level BPE
 never join characters across some places, whatever stands around them, so the chunks between
 such places are encoded once per worker and looked up after that:
 
@@ -17,6 +18,8 @@ from itertools import chain
 
 import numpy as np
 
+from tessera.llm.words import worker
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks in a generation of the memo; a worker keeps this one and the last. Results don't depend on it.
@@ -40,8 +43,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words = words
+        # texts that hold a token of the file's own as a string are encoded whole; without any, nothing matches
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
         self.memo: dict[str, bytes] = dict(zip(KNOWN, self.whole(KNOWN)))
         self.old: dict[str, bytes] = {}
 
@@ -51,6 +56,11 @@ class Encoder:
 
     def _chunks(self, text: str) -> list[str]:
         if self.words:
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # as normalization does; letters beyond Latin-1 are left to the library
+            except UnicodeEncodeError:
+                pass
             return text.replace("\n", " ").split(" ")
         parts = []
         for line in text.split("\n"):
@@ -68,7 +78,7 @@ class Encoder:
         for text in texts:
             if not text:
                 lists.append([])
-            elif not self.words and ("\0" in text or OTHER_SPACE.search(text)):
+            elif self.added.search(text) or not self.words and ("\0" in text or OTHER_SPACE.search(text)):
                 lists.append(None)
                 odd.append(text)
             else:
@@ -87,25 +97,21 @@ class Encoder:
                 at += len(x)
         return out
 
-    def _stem(self, chunk: str) -> tuple[str, str]:
-        """What a chunk's ids are made of: a full stop or comma behind a letter is a piece of its own, and word-level files ignore case."""
-        stem, tail = chunk, ""
-        if chunk[-1:] in (".", ",") and chunk[-2:-1].isalpha() and chunk[-2] < LATIN:
-            stem, tail = chunk[:-1], chunk[-1]
-        if self.words and stem and max(stem) < LATIN:
-            stem = stem.lower()
-        return stem, tail
-
     def _learn(self, new: set[str]) -> None:
-        """Encode chunks, many of them in one text; what an id belongs to is told by its last character."""
+        """Encode chunks, many of them in one text; what an id belongs to is told by its last character.
+
+        A full stop or comma behind a letter is a piece of its own, so the chunk before it is looked up instead.
+        """
         if len(self.memo) + len(new) > MEMO:
             self.memo, self.old = {c: self.memo[c] for c in KNOWN}, self.memo
-        old = self.old
-        self.memo.update((c, old[c]) for c in new if c in old)
-        made = {c: self._stem(c) for c in new if c not in old}
-        self._encode([c for c in dict.fromkeys(stem for stem, _ in made.values()) if c not in self.memo])
-        memo = self.memo
-        memo.update([(c, memo[stem] + memo[tail]) for c, (stem, tail) in made.items()])
+        old, memo = self.old, self.memo
+        if old:
+            memo.update([(c, old[c]) for c in new if c in old])
+            new = [c for c in new if c not in old]
+        tails = [c for c in new if c[-1] in ".," and c[-2:-1].isalpha() and c[-2] < LATIN]
+        stems = {c[:-1] for c in tails}.union(new).difference(tails, memo)
+        self._encode(list(stems))
+        memo.update([(c, memo[c[:-1]] + memo[c[-1]]) for c in tails])
 
     def _encode(self, rest: list[str]) -> None:
         for k in range(0, len(rest), 4000):
@@ -125,11 +131,6 @@ class Encoder:
             self.memo.update((c, raw[a:b]) for c, a, b in zip(some, starts, ends.tolist()))
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, words: bool) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    if (path, words) not in _encoders:
-        _encoders[path, words] = Encoder(path, words)
-    return _encoders[path, words]
+    return worker(f"{path}:{words}", lambda: Encoder(path, words))

@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -92,18 +93,35 @@ def test_packing_of_odd_rows(spark, odd, empty):
         ids = ENCODERS["word_bpe_49k.json"].whole([r.text or ""])[0] + np.array([1], "<u4").tobytes()
         assert b"".join(bytes(x.ids) for x in sorted(by[r.doc_id], key=lambda x: x.start)) == ids
         assert {x.doc_tokens for x in by[r.doc_id]} == {len(ids) // 4}
-    digests = {(x.doc_id, x.start): x.ids_crc32 for x in packing.piece_digests(odd.where("doc_id = 8"), path).collect()}
-    assert digests == {(8, x.start): zlib.crc32(bytes(x.ids)) for x in by[8]}
+    digests = packing.piece_digests(odd, path).collect()
+    check_packing(digests)
+    for r in odd.where("doc_id in (1, 4, 5, 6, 8, 10)").collect():
+        ids = ENCODERS["word_bpe_49k.json"].whole([r.text or ""])[0] + np.array([1], "<u4").tobytes()
+        some = sorted((x for x in digests if x.doc_id == r.doc_id), key=lambda x: x.start)
+        assert [x.ids_crc32 for x in some] == [zlib.crc32(ids[4 * x.start : 4 * (x.start + x.length)]) for x in some] and sum(x.length for x in some) == len(ids) // 4
     assert packing.pack_documents(empty, path).count() == 0
 
 
-@pytest.mark.parametrize("kind", ["mixed", "one", "tiny", "long"])
+@pytest.mark.parametrize("kind", ["mixed", "one", "tiny", "long", "skewed"])
 def test_packing_has_little_padding(spark, kind):
     r = np.random.default_rng(2)
-    lengths = {"mixed": r.integers(1, 2049, 4000), "one": np.full(3000, 500), "tiny": r.integers(1, 20, 5000), "long": np.full(900, 1200)}[kind]
-    pieces = spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(lengths)], "doc_id long, start long, length long")
-    fill = check_packing(packing.pack(pieces, Workspace(spark, "t")).collect())
-    assert fill > {"mixed": 0.98, "one": 0.95, "tiny": 0.6, "long": 0.58}[kind]
+    lengths = {"mixed": r.integers(1, 2049, 4000), "one": np.full(3000, 500), "tiny": r.integers(1, 20, 50_000), "long": np.full(900, 1200), "skewed": np.minimum(2048, r.lognormal(5, 1.5, 6000).astype(int) + 1)}[kind]
+    pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "piece long, length long")
+    rows = [packing_row(x) for x in packing.place(pieces, Workspace(spark, "t")).collect()]
+    assert check_packing(rows) > 0.98
+    parts = defaultdict(list)
+    for x in rows:
+        parts[x.piece].append((x.start, x.length))
+    for i, n in enumerate(lengths):  # each token in exactly one part
+        at = 0
+        for start, size in sorted(parts[i]):
+            assert start == at
+            at += size
+        assert at == n
+
+
+def packing_row(x):
+    return SimpleNamespace(piece=x.piece, start=x.cut_from, length=x.cut_len, sequence_id=x.sequence_id, offset=x.offset)
 
 
 def test_nnls_finds_a_non_negative_fit():
@@ -111,5 +129,17 @@ def test_nnls_finds_a_non_negative_fit():
     a, x = r.random((30, 80)), np.where(r.random(80) < 0.2, r.random(80), 0)
     y = packing.nnls(a, a @ x)
     assert (y >= 0).all() and np.abs(a @ y - a @ x).max() < 1e-6
-    plan = packing.plan({256: 3, 128: 5, 100: 7, 56: 2}, 256)
-    assert sum(n * p.count(100) for p, n in plan) == 7 and sum(n * p.count(128) for p, n in plan) == 5 and all(sum(p) <= 256 for p, _ in plan)
+    plan = packing.plan({2048: 3, 1024: 5, 800: 7, 448: 2}, 2048)
+    assert sum((x.hi - x.lo) * x.cut_len for x in plan) == 3 * 2048 + 5 * 1024 + 7 * 800 + 2 * 448
+    assert packing.plan({}, 2048) == []
+
+
+def test_special_strings_are_the_librarys():
+    """A plain library call, without this package, decides."""
+    from tokenizers import Tokenizer
+
+    texts = ["hello <|endoftext|> world", "<|startoftext|>a<|endoftext|>", "x<|ENDOFTEXT|>y", "<|endoftext|", "two\n<|endoftext|>\n\nlines"]
+    for name, words in FILES.items():
+        plain = Tokenizer.from_file(vocab.path(name))
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(vocab.path(name), words).encode(texts)] == want
