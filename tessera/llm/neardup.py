@@ -155,8 +155,8 @@ def estimate(a: Column, b: Column, n: Column, m: Column, shape: Shape) -> Column
 class Linker:
     """Links nodes with a Jaccard similarity of at least percent / 100.
 
-    nodes is a saved table: id (long, one for each row), node (fingerprint), key, n, sketch (an array
-    of band values) and parity. fetch gives (id, shingles) of the nodes in a table
+    nodes is a saved table, which is deleted: id (long, one for each row), node (fingerprint), key,
+    last, size, n, sketch (an array of band values) and parity. fetch gives (id, shingles) of the nodes in a table
     (id, node, key): their distinct 64-bit hashes.
     """
 
@@ -177,7 +177,9 @@ class Linker:
         pivots = keyed.groupBy("h").agg(F.min(F.struct("key", "id"))["id"].alias("pivot"), F.count("*").alias("size"))
         pivots = space.save(pivots, "pivots")
         self.buckets = space.save(by_size(found, pivots, "h"), "buckets")
-        space.drop(found, ids, pivots)
+        # what the clusters need in the end, without the sketches
+        self.nodes = space.save(nodes.select("id", "node", "key", "last", "size"), "plain-nodes")
+        space.drop(found, ids, pivots, nodes)
         space.sweep()
         self.labels = None
 
@@ -302,12 +304,13 @@ class TextSets:
         return found.join(wanted.select("node", "id"), "node").groupBy("id").agg(F.first("shingles").alias("shingles"))
 
 
-def clusters(members: DataFrame, nodes: DataFrame, labels: DataFrame, space: Workspace) -> DataFrame:
+def clusters(members: DataFrame, linker: Linker) -> DataFrame:
     """members (with node, its fingerprint) with cluster, the least key of its component, null where no other key is in it.
 
-    nodes: id, node, key, last (the most key), size (its members); labels: (node, comp) of linked ids.
+    The linker's nodes have key and last, the least and the most key, and size, the number of members.
     """
-    rows = nodes.select("id", "node", "key", "last", "size").join(labels.withColumnRenamed("node", "of"), F.col("id") == F.col("of"), "left")
+    space, labels = linker.space, linker.run()
+    rows = linker.nodes.join(labels.withColumnRenamed("node", "of"), F.col("id") == F.col("of"), "left")
     rows = space.save(rows.withColumn("comp", F.coalesce("comp", "id")).select("node", "comp", "key", "last", F.col("size").alias("rows")), "nodes-labelled")
     least = rows.groupBy("comp").agg(
         F.min("key").alias("cluster"), F.max("last").alias("last_key"), F.sum("rows").alias("total"), F.count("*").alias("size"))
@@ -328,6 +331,7 @@ def near_duplicates(items: DataFrame, space: Workspace, percent: int = 75) -> Da
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"),
     )
     nodes = space.save(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    plain = space.save(members.select("key", "n", "node"), "members")
+    space.drop(members)
     space.sweep()
-    labels = Linker(nodes, TextSets(items), space, percent, DOCUMENT).run()
-    return clusters(members.select("key", "n", "node"), nodes, labels, space).select("key", "n", "cluster")
+    return clusters(plain, Linker(nodes, TextSets(items), space, percent, DOCUMENT)).select("key", "n", "cluster")
