@@ -17,13 +17,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.line_dedup import _bit, _filter, _passed
+from tessera.llm.joins import marked
 from tessera.llm.workspace import Workspace
 
 SHINGLE = 5
 #: Fixed masks. At a containment of 0.75 a window has a Jaccard similarity with its item of 0.17 or more.
 MASKS = [int(x) for x in np.random.Generator(np.random.PCG64(7)).integers(-(2**63), 2**63 - 1, 64)]
-#: Sketch elements up to this number are broadcast; beyond it they are joined by a shuffle.
+#: Sketch elements up to this number are broadcast; beyond it they are joined by a shuffle, with the same result.
 BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,7 +58,7 @@ def least(hashes: Column) -> Column:
     return F.array(*map(under, MASKS))
 
 
-def hits(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, percent: int = 75, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared): items of which a document has at least percent % of the distinct 5-word shingles.
 
     Items without words are found nowhere, and items of fewer than five words only in documents
@@ -74,7 +74,7 @@ def hits(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
     items = items.withColumn("stride", F.expr("cast(greatest(8, power(2, ceil(log2(n_item)))) as int)"))
     items = space.save(items.select("item_id", "item", "shingles", "n_item", "sketch", "stride"), "items")
     wanted = items.select("item", "n_item", "stride", F.explode(F.array_distinct("sketch")).alias("hash"))
-    spread = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda d: d
+    spread = F.broadcast if wanted.count() <= broadcast_rows else lambda d: d
 
     held = docs.select("doc_id", "text").withColumn("w", words(F.col("text"))).withColumn("h", shingle_hashes(F.col("w")))
     # posexplode_outer: the filter that Spark infers for posexplode would compute the hashes twice
@@ -90,7 +90,8 @@ def hits(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
     found = found.where(F.col("n") >= F.greatest(F.lit(1), F.col("n_elements") - F.floor(F.col("n_item") * (100 - percent) / 100)))
     found = space.save(found.select("doc_id", "item", "windows"), "found")
 
-    texts = _passed(docs.select("doc_id", "text").withColumn("bit", _bit("doc_id")), _filter(found.select(_bit("doc_id").alias("bit"))))
+    known = space.save(found.select(F.xxhash64("doc_id").alias("h")).distinct(), "known")
+    texts = marked(docs.select("doc_id", "text"), F.col("doc_id"), known)
     texts = texts.where("passed").select(F.col("doc_id").alias("of"), "text")
     pairs = found.join(texts, F.col("doc_id").eqNullSafe(F.col("of"))).join(items, "item")
     pairs = pairs.withColumn("w", words(F.col("text"))).withColumn("h", shingle_hashes(F.col("w")))
@@ -116,9 +117,8 @@ def clean(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
     space = Workspace(docs.sparkSession, "decontaminate")
     bad = space.save(hits(docs, items, percent).select(F.col("doc_id").alias("_bad_id")).distinct(), "bad")
     names = docs.columns
-    held = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("bit", _bit(f"c{names.index('doc_id')}"))
-    held = _passed(held, _filter(bad.select(_bit("_bad_id").alias("bit"))))
     id_name = F.col(f"c{names.index('doc_id')}")
+    held = marked(docs.toDF(*(f"c{i}" for i in range(len(names)))), id_name, bad.select(F.xxhash64("_bad_id").alias("h")))
     some = held.where("passed").join(bad, id_name.eqNullSafe(F.col("_bad_id")), "left_anti")
     return held.where("not passed").unionByName(some).drop("passed").toDF(*names)
 

@@ -5,9 +5,9 @@ equal passages agree even if lines before them were added or removed. A chunk wi
 that are not blank, whose bytes occur elsewhere too, stays only at its first place: the least
 doc_id, then the least chunk number.
 
-Hashes only narrow the search. Two filters of fixed size, each one bit for a hashed key, are
-broadcast: one tells which chunks may be repeated, the other which documents lose any. So texts
-that have nothing to lose never move between executors.
+Hashes only narrow the search. Two filters of hashed keys, sized by their number, are broadcast:
+one tells which chunks may be repeated, the other which documents lose any. So texts that have
+nothing to lose never move between executors. Chunks with very many copies are joined as hot groups.
 
 Chunks are cut where the hash says, so the ends of a passage, and short passages, may stay: that
 is dedup, which the oracle defines. deduped, the pipeline's stage, compares all pairs of
@@ -21,12 +21,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.joins import by_size, marked
 from tessera.llm.workspace import Workspace
 
 #: A chunk ends after a line if the rolling hash is a multiple of this; it has so many lines on average.
 MEAN_LINES = 3
-#: Bits of a filter: at most 2 MB of words are broadcast, at every input size.
-FILTER_BITS = 1 << 23
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -80,36 +79,20 @@ def _several(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?m)^.*\S")) >= 2
 
 
-def _filter(keys: DataFrame) -> DataFrame:
-    """(word, bits): a filter of the hashed column bit, 64 bits to a row."""
-    return keys.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-
-
-def _bit(*columns: Column | str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
-
-
-def _passed(rows: DataFrame, bits: DataFrame) -> Column:
-    """rows with word and bits of a filter, which is broadcast; bits is null where no key of the word is known."""
-    return rows.withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(bits), "word", "left").withColumn(
-        "passed", F.coalesce(F.expr("getbit(bits, cast(bit & 63 as int)) = 1"), F.lit(False))
-    ).drop("word", "bits", "bit")
-
-
 def removals(docs: DataFrame, space: Workspace, cut: Callable[[DataFrame], DataFrame] = chunks) -> DataFrame:
     """(doc_id, number, hash) of every chunk, or pair of lines, that is not at its first place; SHA-256 stands for its bytes."""
     # explode_outer: the filter that Spark infers for explode would compute the chunks anew, in nested loops
     parts = cut(docs.select("doc_id", "text")).select("doc_id", F.explode_outer("chunks").alias("c")).where(_several(F.col("c.text")))
     hashed = parts.select(F.xxhash64("c.text").alias("hash"))
-    repeated = space.save(hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated")
-    bits = _filter(repeated.select(_bit("hash").alias("bit")))
+    repeated = space.save(hashed.groupBy("hash").agg(F.count("*").alias("size")).where("size > 1"), "repeated")
     rows = parts.select("doc_id", "c.number", "c.text", F.xxhash64("c.text").alias("hash"))
-    rows = _passed(rows.withColumn("bit", _bit("hash")), bits).where("passed").drop("passed")
+    rows = marked(rows, F.col("hash"), repeated.select(F.xxhash64("hash").alias("h"))).where("passed").drop("passed")
     rows = rows.select("doc_id", "number", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "hash")
-    rows = space.save(rows.join(repeated.hint("merge"), "hash", "left_semi"), "candidates")
-    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "number")).alias("at"))
-    joined = rows.alias("r").join(first.alias("f"), F.col("r.digest") == F.col("f.digest"))
-    return joined.where("not (r.doc_id <=> f.at.doc_id and r.number = f.at.number)").select("r.doc_id", "r.number", "r.hash")
+    rows = space.save(rows, "maybe")  # the texts are cut once, whichever way they are joined
+    rows = space.save(by_size(rows, repeated, "hash"), "candidates")
+    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "number")).alias("at"), F.count("*").alias("size"))
+    joined = by_size(rows, space.save(first, "first"), "digest")
+    return joined.where("not (doc_id <=> at.doc_id and number = at.number)").select("doc_id", "number", "hash")
 
 
 def dedup(docs: DataFrame, cut: Callable[[DataFrame], DataFrame] = chunks) -> DataFrame:
@@ -129,8 +112,7 @@ def dedup(docs: DataFrame, cut: Callable[[DataFrame], DataFrame] = chunks) -> Da
         F.struct(F.lit(0).alias("none"), *(f"c{i}" for i in range(len(names)) if names[i] != "text")).alias("row"),
         F.col(f"c{names.index('doc_id')}").alias("doc_id"), F.col(f"c{names.index('text')}").alias("text"),
     )
-    bits = _filter(gone.select(_bit("doc_id").alias("bit")))
-    held = _passed(held.withColumn("bit", _bit("doc_id")), bits)
+    held = marked(held, F.col("doc_id"), gone.select(F.xxhash64("doc_id").alias("h")))
     # merge: the removals grow with the corpus, so no size is right for a broadcast
     touched = held.where("passed").drop("passed").join(gone.withColumnRenamed("doc_id", "of").hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")), "left")
     touched = cut(touched)

@@ -11,6 +11,7 @@ from hashlib import md5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SHARDS = 64
 SLOTS = 65_537
@@ -54,9 +55,22 @@ def shard(rows: DataFrame, key: str, shards: int = SHARDS, slots: int = SLOTS) -
     return rows.join(F.broadcast(places), "slot").select(*[c for c in rows.columns if c != "slot"], "slot", "shard")
 
 
-def write_shards(rows: DataFrame, key: str, folder: str, shards: int = SHARDS) -> None:
-    """One folder for each shard."""
-    shard(rows, key, shards).drop("slot").write.partitionBy("shard").parquet(folder)
+def write_shards(rows: DataFrame, key: str, folder: str, shards: int = SHARDS, slots: int = SLOTS) -> None:
+    """Write rows with their slots into one folder for each shard.
+
+    Rows meet by shard, and shards that are large are split again into files of the session's
+    advisory size, so no task writes more than that, however many rows there are.
+    """
+    placed = shard(rows, key, shards, slots)
+    dealt = rows.sparkSession.sql("SELECT /*+ REBALANCE(shard) */ * FROM {placed}", placed=placed)
+    dealt.write.partitionBy("shard").parquet(folder)
+
+
+def read_shards(rows: DataFrame, folder: str) -> DataFrame:
+    """What write_shards wrote of rows: their columns, slot and shard. One shard's folder is read by filtering on shard."""
+    schema = T.StructType([f for f in rows.schema if f.name not in ("slot", "shard")])
+    schema = schema.add("slot", T.IntegerType()).add("shard", T.IntegerType())
+    return rows.sparkSession.read.schema(schema).parquet(folder)
 
 
 def oracle(rows: str, key: str, shards: int = SHARDS, slots: int = SLOTS) -> str:

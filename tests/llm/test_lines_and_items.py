@@ -91,3 +91,27 @@ def test_lookup_table_is_balanced_and_stable(spark, odd, empty):
     table = sharding.lookup_table([f"shard-{i}" for i in range(64)])
     assert len(rows) == odd.count() and all(x.shard == table[x.slot] for x in rows) and len({x.slot for x in rows if x.doc_id == 2}) == 1
     assert out.columns == [*odd.columns, "slot", "shard"] and sharding.shard(empty, "doc_id").count() == 0
+
+
+def test_shards_are_written_and_read_whole(spark, odd, empty, tmp_path):
+    sharding.write_shards(odd, "doc_id", f"{tmp_path}/a")
+    rows = sharding.read_shards(odd, f"{tmp_path}/a")
+    assert rows.columns == [*odd.columns, "slot", "shard"]
+    assert sorted(map(str, rows.collect())) == sorted(map(str, sharding.shard(odd, "doc_id").collect()))
+    sharding.write_shards(empty, "doc_id", f"{tmp_path}/b")
+    assert sharding.read_shards(empty, f"{tmp_path}/b").count() == 0
+
+
+def test_sketches_that_are_too_many_to_broadcast_find_the_same(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "benchmark"))
+    few, many = (sorted(map(tuple, decontaminate.hits(docs, items, broadcast_rows=n).collect())) for n in (decontaminate.BROADCAST_ROWS, 0))
+    assert few == many and few
+
+
+def test_a_chunk_of_a_third_of_all_rows(spark, monkeypatch):
+    """Hot chunks are joined apart from the others, with the same result."""
+    monkeypatch.setattr("tessera.llm.joins.LEAST_HOT", 3)
+    passage = prose(41, 120)
+    rows = [(k, prose(500 + k, 48) + "\n" + (passage if k % 3 == 0 else prose(900 + k // 2, 60))) for k in range(60)]
+    got = {x.doc_id: x for x in line_dedup.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(passage not in got[k].text for k in range(3, 60, 3)) and passage in got[0].text
