@@ -20,8 +20,10 @@ def by_size(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") ->
     than a ten-thousandth of all rows, or a thousand. how is inner or left; a null key has no group.
     groups is read several times and should be a saved table.
     """
-    total = groups.agg(F.sum("size").alias("n")).first()["n"] or 0
-    limit = max(LEAST_HOT, total // HOT_GROUPS)
+    found = groups.agg(F.sum("size").alias("total"), F.max("size").alias("most")).first()
+    limit = max(LEAST_HOT, (found["total"] or 0) // HOT_GROUPS)
+    if (found["most"] or 0) <= limit and how == "inner":
+        return rows.join(groups.drop("size").hint("merge"), key)
     hot = groups.where(F.col("size") > limit)
     cold = groups.where(F.col("size") <= limit).drop("size")
     known = rows.where(F.col(key).isNotNull())

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.words import parts
+from tessera.llm.words import parts, worker
 
 UNKNOWN = "und"
 #: Labelled rows that are learned from, for each language; drawn by a hash of doc_id.
@@ -28,7 +29,8 @@ PIECE, LONG, CELLS = 16, 32, 100_000
 #: Expectation maximisation rounds, and the count that every piece has besides.
 ROUNDS, SMOOTH = 3, 0.02
 #: Words whose scores a worker keeps; beyond it the memo starts anew, results don't depend on it.
-MEMO = 400_000
+MEMO = 250_000
+#: Characters that may be letters; str.isalpha decides.
 LETTER = re.compile(r"[^\W\d_]")
 START = "▁"
 
@@ -42,6 +44,30 @@ def vocabulary(path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(dict.fromkeys(p.lower() for p in found))}
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
+#: White space that str.split knows besides 0x20 and 0x09-0x0D.
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-cased words, cut at 0x20 and 0x09-0x0D, in training as in prediction."""
+    low = text.lower()
+    return [w for w in SPACE.split(low) if w] if OTHER_SPACE.search(low) else low.split()
+
+
+def _counts(batches):
+    for batch in (p for b in batches for p in parts(b)):
+        found: Counter[tuple[str, str]] = Counter()
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            found.update((lang, w) for w in words_of(text))
+        langs, words = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
+
+
 def portions(texts: list[str], most: int) -> Iterator[list[int]]:
     """The places of texts in portions of similar lengths, short ones and long ones apart: most at once, fewer if they are long."""
     part: list[int] = []
@@ -188,13 +214,18 @@ def held_out(divisor: int, rest: int):
 
 
 def train(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from text and lang of the rows of docs that have both, sample_rows of each language at most."""
+    """Learn from text and lang of the rows of docs that have both, sample_rows of each language at most.
+
+    Rows that repeat a doc_id and lang count as one, with the text that is first in order. Rows without
+    doc_id, text or lang teach nothing; without any other rows no language is known.
+    """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     drawn = docs.where("lang is not null and text is not null").select("doc_id", "lang")
     drawn = drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows).drop("n").distinct()
-    rows = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(drawn), ["doc_id", "lang"], "left_semi")
-    words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n")).toPandas()
+    rows = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(drawn), ["doc_id", "lang"])
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # one row of each, however often it is repeated
+    counts = rows.select("lang", "text").mapInArrow(_counts, "lang string, word string, n long")
+    counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     pieces = Pieces(vocabulary(path))
     languages = sorted(counts.lang.unique())
     if not languages:
@@ -245,7 +276,7 @@ class Scorer:
         return np.array([self.memo[w] for w in words], np.int64)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        lists = [t.lower().split() if t and LETTER.search(t) else [] for t in texts]
+        lists = [words_of(t) if t and has_letter(t) else [] for t in texts]
         names = self.model.languages
         if not names:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -264,17 +295,6 @@ class Scorer:
         return langs, scores
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(model_id: str, sent) -> Scorer:
-    """The worker's scorer of a broadcast model."""
-    if model_id not in _scorers:
-        _scorers.clear()
-        _scorers[model_id] = Scorer(sent.value)
-    return _scorers[model_id]
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score: the most likely learned language and its share of the posterior.
 
@@ -286,7 +306,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     model_id = uuid.uuid4().hex
 
     def run(batches):
-        scorer = _scorer(model_id, sent)
+        scorer = worker(model_id, lambda: Scorer(sent.value))
         for batch in batches:
             for part in parts(batch):
                 langs, scores = scorer.predict(part.column("text").to_pylist())
@@ -298,14 +318,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each row of docs; rows with held_out are not learned from."""
+    """doc_id, held_out, lang_pred, score of each row of docs; rows with held_out are not learned from.
+
+    Repeated rows each get a row; null, empty and letterless texts are und; an empty table gives an
+    empty result. Other columns are ignored.
+    """
     docs = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out(4, 2))
     model = train(docs.where("not held_out"), path)
     return predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, path: str, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is known with a score of at least least; all their columns."""
+    """The rows of docs whose language is known with a score of at least least; all their columns, whatever their names.
+
+    Null, empty and letterless texts go; repeated rows all stay or go.
+    """
     model = train(docs.select("doc_id", "text", "lang").where(~held_out(4, 2)), path)
     kept = [c for c in docs.columns]
     plain = docs.toDF(*(f"_{i}_{c}" if c.lower() in ("lang_pred", "score") else c for i, c in enumerate(kept)))

@@ -11,10 +11,14 @@ SAMPLE_ROWS = 4000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, text, label) of at most rows labelled doc_ids. Several labels of one doc_id count as their largest."""
+    """(doc_id, text, label) of at most rows documents with labels.
+
+    Several labels of one doc_id count as their largest, several texts as the one that is first in order.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def adam(x: np.ndarray, gradient, rounds: int, rate: float) -> np.ndarray:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from tessera.llm.learning import adam, labelled_sample, platt, sigmoid
-from tessera.llm.words import PLACE, mix, parts, slices, word_hashes
+from tessera.llm.words import PLACE, mix, parts, slices, word_hashes, worker
 
 WEIGHTS = 1 << 18
 #: A text is kept if its calibrated chance of good quality is at least this.
@@ -25,7 +25,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 SCALE = 30.0
-MEMO = 400_000
+MEMO = 250_000
 
 
 def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,17 +170,6 @@ class Scorer:
         return sigmoid(self.model.slope * z + self.model.intercept)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(model_id: str, sent) -> Scorer:
-    """The worker's scorer of a broadcast model."""
-    if model_id not in _scorers:
-        _scorers.clear()
-        _scorers[model_id] = Scorer(sent.value)
-    return _scorers[model_id]
-
-
 def rate(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the base counts, base_failed, chance, kept of each row of docs (doc_id, text).
 
@@ -193,7 +182,7 @@ def rate(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):
-        scorer = _scorer(model_id, sent)
+        scorer = worker(model_id, lambda: Scorer(sent.value))
         for batch in (p for b in batches for p in parts(b)):
             texts = batch.column("text").to_pylist()
             flat, counts = word_hashes(texts, lower=False)

@@ -17,10 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.learning import SAMPLE_ROWS, adam, labelled_sample, sigmoid
-from tessera.llm.words import parts
+from tessera.llm.learning import adam, labelled_sample, sigmoid
+from tessera.llm.words import parts, slices, worker
 
 WEIGHTS = 1 << 20
+#: Labelled rows that are learned from at most, drawn by a hash of doc_id: rare offences need many.
+SAMPLE_ROWS = 10_000
+#: Words of the sample that a step looks at at once, to bound the driver's memory.
+CHUNK = 1 << 20
 #: Sampled documents that a hashed feature must be in, at least, to have a weight.
 LEAST_DOCS = 5
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
@@ -28,6 +32,8 @@ SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_"
 #: A sentence with at least this chance is reported as offending.
 OFFENDING = 0.5
+#: Gradient steps, and the pull of weights towards zero.
+ROUNDS, SHRINK = 150, 2e-4
 
 
 def features(word: str) -> list[int]:
@@ -44,7 +50,7 @@ def _instances(batches):
     for batch in (p for b in batches for p in parts(b)):
         sizes, words = [], []
         for text in batch.column("text").to_pylist():
-            found = [[f for w in sorted(words_of(s)) for f in features(w)] for s in SENTENCE.findall(text or "")]
+            found = [[f for w in sorted(words) for f in features(w)] for words in map(words_of, SENTENCE.findall(text or "")) if words]
             sizes.append(np.array([len(x) for x in found], np.int32))
             words.append(np.array([f for x in found for f in x], np.int32))
         yield pa.RecordBatch.from_arrays(
@@ -59,37 +65,59 @@ class Model:
         self.weights, self.bias = weights.astype(np.float32), bias
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on a bounded sample of labelled documents; without labels of both classes no sentence offends."""
-    found = labelled_sample(docs, labels, "toxic", rows).mapInArrow(_instances, "label int, sizes array<int>, words array<int>").toArrow()
-    y = found.column("label").to_numpy().astype(float)
-    if len(set(y.tolist())) < 2:
-        return Model(np.zeros(WEIGHTS), -8.0)
-    sizes, words = (found.column(c).combine_chunks() for c in ("sizes", "words"))
-    doc = np.repeat(np.arange(len(y)), sizes.value_lengths().to_numpy())
-    sentence = np.repeat(np.arange(len(doc)), sizes.flatten().to_numpy())
-    word = words.flatten().to_numpy()
-    seen = np.unique(doc[sentence].astype(np.int64) * WEIGHTS + word) % WEIGHTS
-    wide = np.bincount(seen, minlength=WEIGHTS) >= LEAST_DOCS
-    sentence, word = sentence[wide[word]], word[wide[word]]
-    number = np.cumsum(wide) - 1
-    word, n = number[word], int(wide.sum())
+def fit(y: np.ndarray, doc: np.ndarray, sentence: np.ndarray, word: np.ndarray, rounds: int = ROUNDS, keep: float = SHRINK) -> tuple[np.ndarray, float]:
+    """Weights of words 0 to the largest and a sentence's bias, from document labels y alone.
+
+    doc is the document of each sentence, sentence that of each word. Both classes weigh the same:
+    one sentence is enough to offend, so few words of a long toxic document are to blame for it.
+    """
+    n = int(word.max(initial=-1)) + 1
+    share = float(y.mean())
+    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
+
+    chunks = [slice(k, k + CHUNK) for k in range(0, len(word), CHUNK)]
 
     def gradient(x):
-        z = x[-1] + np.bincount(sentence, x[word], len(doc))
+        z = np.full(len(doc), x[-1])
+        for c in chunks:
+            z += np.bincount(sentence[c], x[word[c]], len(doc))
         clean = np.bincount(doc, np.logaddexp(0, z), len(y))  # -log of the chance that all sentences are clean
-        pull = np.where(y == 1, -1 / np.expm1(np.clip(clean, 1e-6, 50)), 1.0)[doc] * sigmoid(z)
-        g = np.append(np.bincount(sentence_words, pull[sentence], n), pull.sum()) / len(y)
-        g[:-1] += 2e-4 * x[:-1]
+        pull = (weight * np.where(y == 1, -1 / np.expm1(np.clip(clean, 1e-6, 50)), 1.0))[doc] * sigmoid(z)
+        g = keep * x
+        g[-1] = pull.sum()
+        for c in chunks:
+            g[:-1] += np.bincount(word[c], pull[sentence[c]], n)
         return g
 
-    sentence_words = word
     start = np.zeros(n + 1)
     start[-1] = np.log(max(1e-6, y.sum() / max(1, len(doc))))
-    x = adam(start, gradient, 150, 0.1)
+    x = adam(start, gradient, rounds, 0.1)
+    return x[:-1], float(x[-1])
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    """Fit on a bounded sample of labelled documents; without labels of both classes no sentence offends.
+
+    Documents of null or wordless text teach nothing; of several labels of one doc_id the largest counts.
+    """
+    found = labelled_sample(docs, labels, "toxic", rows).mapInArrow(_instances, "label int, sizes array<int>, words array<int>").toArrow()
+    y = found.column("label").to_numpy().astype(float)
+    if len(set(y.tolist())) < 2:
+        return Model(np.zeros(WEIGHTS), -8.0)
+    sizes, words = (found.column(c).combine_chunks() for c in ("sizes", "words"))
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), sizes.value_lengths().to_numpy())
+    sentence = np.repeat(np.arange(len(doc), dtype=np.int32), sizes.flatten().to_numpy())
+    word = words.flatten().to_numpy()
+    seen = np.zeros(WEIGHTS, np.int32)
+    for a, b in slices(words.value_lengths().to_numpy().astype(np.int64)):
+        seen[np.unique(word[a:b])] += 1
+    wide = seen >= LEAST_DOCS
+    known = wide[word]
+    sentence, word = sentence[known], (np.cumsum(wide, dtype=np.int32) - 1)[word[known]]
     weights = np.zeros(WEIGHTS)
-    weights[wide] = x[:-1]
-    return Model(weights, float(x[-1]))
+    some, bias = fit(y, doc, sentence, word)
+    weights[np.flatnonzero(wide)[: len(some)]] = some
+    return Model(weights, bias)
 
 
 class Weights(dict):
@@ -113,22 +141,13 @@ class Weights(dict):
             words = m.group().lower().split()
             if words:
                 found = dict(map(self.__getitem__, words))  # a repeated word counts once
-                spans.append(m.span())
-                sums.append(sum(found.values()))
+                found.pop("", None)
+                if found:
+                    spans.append(m.span())
+                    sums.append(sum(found.values()))
         return spans, sigmoid(np.array(sums) + self.model.bias)
 
 
-_weights: dict[str, Weights] = {}
-
-
-def _worker(model_id: str, sent) -> Weights:
-    """The worker's weights of a broadcast model."""
-    if model_id not in _weights:
-        _weights.clear()
-        _weights[model_id] = Weights(sent.value)
-    return _weights[model_id]
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs' doc_id and score of each row, and the offending sentences: an array of (start, end, chance).
 
@@ -139,7 +158,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     model_id = uuid.uuid4().hex
 
     def run(batches):
-        weights = _worker(model_id, sent)
+        weights = worker(model_id, lambda: Weights(sent.value))
         for batch in (p for b in batches for p in parts(b)):
             scores, found = [], []
             for text in batch.column("text").to_pylist():

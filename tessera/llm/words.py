@@ -6,6 +6,8 @@ are concerned. ``bytes.lower`` and ``bytes.split`` have exactly these two rules.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from itertools import chain
 
 import numpy as np
@@ -19,7 +21,7 @@ _rng = np.random.Generator(np.random.PCG64(20240611))
 PLACE = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BUCKET = _rng.integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Words whose hashes a worker keeps; beyond it the memo starts anew, results don't depend on it.
-MEMO = 200_000
+MEMO = 150_000
 
 
 class WordHashes(dict):
@@ -90,6 +92,18 @@ def distinct_sets(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes[new], total[ends] - total[ends - n]
 
 
+def release() -> None:
+    """Give memory that is free back to the system: workers are reused, and stand beside executors that need it."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError):  # not glibc
+    _libc = None
 _kept: dict[str, object] = {}
 
 
@@ -98,6 +112,8 @@ def worker(name: str, make):
     if name not in _kept:
         _kept.clear()
         _hashes.clear()
+        gc.collect()
+        release()
         _kept[name] = make()
     return _kept[name]
 
@@ -116,3 +132,4 @@ def parts(batch: pa.RecordBatch, size: int = 1 << 20, column: str = "text"):
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
+    release()

@@ -125,3 +125,37 @@ def test_toxicity_is_learned_and_located(spark, odd, empty):
     assert all(strange[i].score == 0 for i in (4, 5, 6)) and all(0 <= x.score <= 1 for x in strange.values())
     assert toxicity.score(empty, model).count() == 0
     assert {x.predicted for x in toxicity.rate(docs, labels(spark, [])).collect()} == {0}
+
+
+def test_letters_and_words():
+    assert [langid.has_letter(t) for t in ("½ ²", "Ⅷ", "12 _", "x", "漢", "²é")] == [False, False, False, True, True, True]
+    assert langid.words_of("Ab\u00a0c d\x1ce\tF") == ["ab\u00a0c", "d\x1ce", "f"]
+
+
+def test_calibration_and_samples_are_bounded(spark):
+    from tessera.llm.learning import labelled_sample, platt, sigmoid
+
+    r = np.random.default_rng(4)
+    z = r.normal(0, 2, 4000)
+    y = (r.random(4000) < sigmoid(1.7 * z - 0.4)).astype(float)
+    slope, intercept = platt(z, y)
+    assert abs(slope - 1.7) < 0.2 and abs(intercept + 0.4) < 0.15
+    docs = spark.createDataFrame([(k % 3, f"t{k % 2}") for k in range(60)], "doc_id long, text string")
+    found = labelled_sample(docs, labels(spark, [(0, 1, 0), (0, 0, 0), (1, 0, 0), (2, 1, 1)]), "quality", 2).collect()
+    assert len(found) == 2 and {x.text for x in found} == {"t0"}
+
+
+def test_toxicity_equals_brute_force(spark):
+    """The score is one minus the product of the sentences' chances of being clean, from the model's weights."""
+    weights = np.random.default_rng(5).normal(0, 1, toxicity.WEIGHTS)
+    model = toxicity.Model(weights, -2.0)
+    docs = spark.createDataFrame([(k, prose(k, 60 + k) + (" ... !!" if k % 2 else "")) for k in range(12)], "doc_id long, text string")
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    for x in toxicity.score(docs, model).collect():
+        clean = 1.0
+        for sentence in re.findall(r"[^.!?\n]+[.!?\n]*", texts[x.doc_id]):
+            words = {w.strip(toxicity.EDGES) for w in sentence.lower().split()} - {""}
+            if words:
+                z = sum(float(model.weights[toxicity.features(w)].sum()) for w in words) + model.bias
+                clean *= 1 - 1 / (1 + np.exp(-z))
+        assert abs(x.score - (1 - clean)) < 1e-4
