@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import table_queries, text_queries
+from tessera.plans import benchmark_queries, router_queries, table_queries, text_queries, trajectory_queries
 
-_ALL = text_queries.QUERIES | table_queries.QUERIES
+_ALL = text_queries.QUERIES | table_queries.QUERIES | trajectory_queries.QUERIES | benchmark_queries.QUERIES | router_queries.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,11 +87,13 @@ def sentences(text: Column) -> Column:
 
 def usable_sentences(text: Column) -> Column:
     """Sentences of at least 18 characters, the first of those that differ in case only; the whole text if there is none."""
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  value is computed once
     long = F.filter(sentences(text), lambda s: F.length(s) >= LEAST_SENTENCE)
-    empty = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("kept"))
-    new = lambda acc, s: F.struct(F.array_append(acc["seen"], F.lower(s)).alias("seen"), F.array_append(acc["kept"], s).alias("kept"))
-    kept = F.aggregate(long, empty, lambda acc, s: F.when(F.array_contains(acc["seen"], F.lower(s)), acc).otherwise(new(acc, s)), lambda acc: acc["kept"])
-    return F.when(F.size(kept) > 0, kept).otherwise(F.filter(F.array(clean_field(text, MOST_SENTENCE)), lambda s: s != ""))
+    # equal ones are neighbours in the order of their small letters and places
+    keyed = F.array_sort(F.transform(long, lambda s, i: F.struct(F.lower(s).alias("k"), i.alias("i"), s.alias("s"))))
+    first = once(keyed, lambda a: F.filter(a, lambda x, j: (j == 0) | (x["k"] != F.get(a, j - 1)["k"])))
+    kept = F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))), lambda x: x["s"])
+    return once(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.filter(F.array(clean_field(text, MOST_SENTENCE)), lambda s: s != "")))
 
 
 def count_terms(found: Column, terms: list[str]) -> Column:

@@ -37,6 +37,8 @@ class Model:
     trust: np.ndarray
     trust_bias: float
     temperatures: tuple[float, float, float] = (1.0, 1.0, 1.0)
+    #: Added to the trust head's value after training.
+    trust_shift: float = 0.0
 
     @classmethod
     def zero(cls, width: int) -> Model:
@@ -46,15 +48,16 @@ class Model:
 def outputs(x: np.ndarray, m: Model) -> np.ndarray:
     """(rows, 5) weights of the four views and of the lexical channel; they sum to 2.
 
-    The views share 2 * (1 - share) with a floor each; low trust draws both shares to even.
+    Standardized features are kept within 8. The views share 2 * share with a floor each, the lexical
+    channel has 2 * (1 - share); low trust draws both to even.
     """
-    z = (x - m.mean) / m.scale
+    z = np.clip((x - m.mean) / m.scale, -8, 8)
     view = FLOOR + (1 - 4 * FLOOR) * softmax((z @ m.view.T + m.view_bias) / m.temperatures[0])
     share = LOW + (HIGH - LOW) * sigmoid((z @ m.share + m.share_bias) / m.temperatures[1])
-    trust = sigmoid((z @ m.trust + m.trust_bias) / m.temperatures[2])[:, None]
-    view = trust * view + (1 - trust) * 0.25
-    share = trust[:, 0] * share + (1 - trust[:, 0]) * 0.5
-    return np.concatenate([2 * (1 - share)[:, None] * view, 2 * share[:, None]], 1)
+    trust = sigmoid((z @ m.trust + m.trust_bias + m.trust_shift) / m.temperatures[2])
+    view = trust[:, None] * view + (1 - trust[:, None]) * 0.25
+    share = 0.5 + trust * (share - 0.5)
+    return np.concatenate([2 * share[:, None] * view, 2 * (1 - share)[:, None]], 1)
 
 
 def route(queries: DataFrame, model: Model) -> DataFrame:
@@ -78,17 +81,36 @@ def fused_ranking(ranks: DataFrame, weights: DataFrame, top: int | None = None,
     return out if top is None else out.where(F.col("rank") <= top)
 
 
-def targets(ranks: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shares of the views, of the lexical channel, and trust, for ranks (queries, candidates, 5) and a mask of positives.
+def ranking_loss(scores: np.ndarray, positive: np.ndarray, softness: float = 0.002) -> float:
+    """Mean over positives of softplus of how far all negatives together stand above each."""
+    if positive.all() or not positive.any():
+        return 0.0
+    low = scores[~positive] / softness
+    anchor = low.max() + np.log(np.exp(low - low.max()).sum())
+    return float(np.logaddexp(0, anchor - scores[positive] / softness).mean())
 
-    A channel's use is the mean over positives of 1 / log2(1 + rank).
+
+def targets(ranks: np.ndarray, positive: np.ndarray, constant: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of the views, the semantic share, and trust, for ranks (queries, candidates, 5) and a mask of positives.
+
+    A channel's use is half the mean and half the least of 1 / log2(1 + rank) over positives. The
+    views' shares are a softmax of their uses; the semantic share weighs the views' use against the
+    lexical one; trust is what these weights gain over even ones in ranking loss, over 0.35.
     """
-    use = np.where(positive[..., None], 1 / np.log2(1.0 + ranks), 0).sum(1) / np.maximum(positive.sum(1), 1)[:, None]
-    view = softmax(use[:, :4] / SOFT)
-    both = softmax(np.stack([use[:, :4].max(1), use[:, 4]], 1) / SOFT)
-    share = np.clip(both[:, 1], LOW, HIGH)
-    trust = np.clip((use.max(1) - use.min(1)) / 0.35, 0, 1)
-    return view, share, trust
+    views, shares, trusts = [], [], []
+    for rank, mask in zip(ranks, positive):
+        discount = 1 / np.log2(1.0 + rank[mask])
+        use = 0.5 * discount.mean(0) + 0.5 * discount.min(0)
+        view = softmax(use[:4] / SOFT)
+        semantic = float(view @ use[:4])
+        share = float(np.clip(semantic / max(semantic + float(use[4]), 1e-8), LOW, HIGH))
+        reciprocal = 1 / (constant + rank.astype(float))
+        even = ranking_loss(reciprocal @ np.array([0.25, 0.25, 0.25, 0.25, 1.0]), mask)
+        best = ranking_loss(reciprocal @ np.append(2 * share * view, 2 * (1 - share)), mask)
+        views.append(view)
+        shares.append(share)
+        trusts.append(float(np.clip((even - best) / 0.35, 0, 1)))
+    return np.array(views), np.array(shares), np.array(trusts)
 
 
 def lbfgs(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 100, memory: int = 10) -> np.ndarray:

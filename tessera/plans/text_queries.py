@@ -126,16 +126,25 @@ def term_filter(spark, d):
 
 
 def near_token_pairs(spark, d):
-    """Documents of one source and language with a token Jaccard of at least 0.68; pairs meet by a shared rare token."""
+    """Documents with a token Jaccard of at least 0.68; pairs meet by a shared rare token.
+
+    Of n tokens in the order of their frequency, pairs above the threshold share one of the first
+    n - ceil(.68 n) + 1. At the first that they share, what is left of both must still be able to
+    reach the threshold, so pairs are dropped by size and place inside the join.
+    """
     docs = _t(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
     docs = docs.where(F.size("t") > 0)
     df = docs.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    each = docs.select("doc_id", F.size("t").alias("n"), F.explode("t").alias("term")).join(df, "term")
-    # prefix filter: of n tokens in the order of their frequency, pairs above the threshold share one of the first n - ceil(.68 n) + 1
-    kept = each.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("o"))
-    kept = kept.select("doc_id", F.explode(F.transform(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * 0.68).cast("int") + 1), lambda x: x["term"])).alias("term"))
-    a, b = kept.select(F.col("doc_id").alias("a"), "term"), kept.select(F.col("doc_id").alias("b"), "term")
-    pairs = a.join(b, "term").where("a < b").select("a", "b").distinct()
+    each = docs.select("doc_id", F.size("t").alias("n"), F.explode("t").alias("term")).join(df.where("df > 1"), "term", "left")
+    kept = each.groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "term"))).alias("o"))
+    kept = kept.select("doc_id", "n", F.posexplode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * 0.68).cast("int") + 1)).alias("place", "x"))
+    kept = kept.where("x.df > 1").select("doc_id", F.col("n").alias("n"), "place", "x.term")
+    side = lambda e: kept.select("term", *(F.col(c).alias(f"{c}_{e}") for c in ("doc_id", "n", "place")))
+    # overlap >= .68 / 1.68 of both sizes, in whole numbers
+    reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * 168 >= 68 * (F.col("n_a") + F.col("n_b"))
+    sizes = 100 * F.least("n_a", "n_b") >= 68 * F.greatest("n_a", "n_b")
+    pairs = side("a").join(side("b"), "term").where((F.col("doc_id_a") < F.col("doc_id_b")) & sizes & reach)
+    pairs = pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
     full = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("t").alias("s")), "a").join(docs.select(F.col("doc_id").alias("b"), "t"), "b")
     both = F.size(F.array_intersect("s", "t"))
     return full.withColumn("j", both / (F.size("s") + F.size("t") - both)).where("j >= 0.68").select("a", "b", F.round("j", 6).alias("jaccard"))
