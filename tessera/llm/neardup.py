@@ -14,9 +14,9 @@ computed again from the texts.
 
 A bucket of copies isn't expanded into pairs. First each node is held against the least node of
 each of its buckets, then what has not joined its bucket's largest component against a
-member drawn by hash. Of what is still in different components, small buckets' pairs are verified;
-larger buckets are refined by a second and a third band that their nodes share, until they are
-small or in one component. Links inside a component can't change the components, so none is lost.
+member drawn by hash. What is still outside its bucket's largest component is held against all of
+the bucket; where that is more than a few hundred nodes, the bucket is refined by a second and a
+third band that its nodes share. Links inside a component can't change the components, so none is lost.
 """
 
 from __future__ import annotations
@@ -39,8 +39,10 @@ from tessera.llm.workspace import Workspace
 MANTISSA = 10
 #: Numbers of shingles hashed at once: few enough for the processor's cache.
 CHUNK = 1 << 15
-#: Nodes of a bucket that are held against one another at most; larger buckets are refined first.
-SMALL_BUCKET = 128
+#: Nodes outside a bucket's largest component that are held against all of its nodes at most; with more, the bucket is refined first.
+FEW = 256
+#: Nodes of a bucket that a task holds another node against, and other bands that a bucket is refined by.
+DEAL, MORE_BANDS = 128, 8
 #: Chance that two distinct minima of sets of n and m shingles share a register is about
 #: COLLIDE * n * m / (n + m)^2: the mean register width over its distance from zero is 1 / (2 ln 2).
 COLLIDE = 0.5 / np.log(2) / 2**MANTISSA
@@ -226,41 +228,52 @@ class Linker:
         self.labels = components(links, self.space)
 
     def mixed(self, buckets: DataFrame) -> DataFrame:
-        """Rows (h, id, comp) of the buckets whose nodes are in more than one component, and their sizes."""
+        """Rows (h, id, comp) of the buckets whose nodes are in more than one component, with the largest one, main, and the numbers of nodes and of those outside it."""
         rows = buckets.select("h", "id").join(self.labels, F.col("id") == F.col("node"), "left").select("h", "id", F.coalesce("comp", "id").alias("comp"))
         rows = self.space.save(rows, "labelled")
-        sizes = rows.groupBy("h").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size"))
-        sizes = self.space.save(sizes.where("least <> most").select("h", "size", F.col("size").alias("n_bucket")), "sizes")
-        return self.space.save(by_size(rows, sizes, "h"), "mixed")
+        sizes = rows.groupBy("h", "comp").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"))
+        sizes = sizes.where("top.n < size").select("h", "size", F.col("size").alias("n_bucket"), F.col("top.comp").alias("main"), (F.col("size") - F.col("top.n")).alias("n_left"))
+        return self.space.save(by_size(rows, self.space.save(sizes, "sizes"), "h"), "mixed")
 
     def run(self) -> DataFrame:
         """(node, comp) of the ids of nodes that have a link."""
         self.add(self.verify(self.screen(self.buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))))
         mixed = self.mixed(self.buckets)
-        large = mixed.where(F.col("n_bucket") > SMALL_BUCKET)
-        if not large.isEmpty():
-            drawn = large.groupBy("h").agg(F.expr("min_by(struct(id, comp), xxhash64(id))").alias("d"), F.count("*").alias("size"))
+        for k in range(2):
+            large = mixed.where(F.col("n_left") > FEW)
+            if large.isEmpty():
+                break
+            drawn = large.groupBy("h").agg(F.expr(f"min_by(struct(id, comp), xxhash64(id, {k}))").alias("d"), F.count("*").alias("size"))
             drawn = self.space.save(drawn, "drawn")
             some = by_size(large, drawn, "h").where("comp <> d.comp").select(F.col("id").alias("a"), F.col("d.id").alias("b"))
             new = self.verify(self.screen(some))
-            if not new.isEmpty():
-                self.add(new)
-                mixed = self.mixed(mixed)
+            if new.isEmpty():
+                break
+            self.add(new)
+            mixed = self.mixed(mixed)
         for depth in range(3):
-            small = mixed if depth == 2 else mixed.where(F.col("n_bucket") <= SMALL_BUCKET)
-            new = self.verify(self.inside(small))
+            few = mixed if depth == 2 else mixed.where(F.col("n_left") <= FEW)
+            new = self.verify(self.inside(few))
             if not new.isEmpty():
                 self.add(new)
-            large = mixed.where(F.col("n_bucket") > SMALL_BUCKET)
+            large = mixed.where(F.col("n_left") > FEW)
             if depth == 2 or large.isEmpty():
-                return self.labels
-            mixed = self.mixed(self.refined(self.mixed(large)))
+                break
+            large = self.mixed(large)
+            mixed = self.mixed(self.refined(large.where(F.col("n_left") > FEW)))
+            rest = large.where(F.col("n_left") <= FEW)
+            if not rest.isEmpty():
+                mixed = self.space.save(mixed.unionByName(rest), "joined")
         return self.labels
 
     def refined(self, mixed: DataFrame) -> DataFrame:
         """(h, id): buckets of the nodes that share a bucket of mixed and another band's value."""
-        held = self.active.select("id", "sketch").join(mixed.select("id", F.col("h").alias("outer")), "id")
-        rows = self.bands(held, "outer").where("h <> outer").select("id", F.xxhash64(F.least("h", "outer"), F.greatest("h", "outer")).alias("h"))
+        bands = self.shape.bands
+        held = self.active.select("id", F.transform("sketch", lambda v, k: F.xxhash64(k, v)).alias("values")).join(mixed.select("id", F.col("h").alias("outer")), "id")
+        place = F.array_position("values", F.col("outer"))
+        # a bucket that is refined itself has a place of no band; its nodes are refined by all bands
+        others = F.when(place > 0, F.transform(F.sequence(F.lit(1), F.lit(min(MORE_BANDS, bands - 1))), lambda k: F.get("values", ((place - 1 + k) % bands).cast("int")))).otherwise(F.col("values"))
+        rows = held.select("id", "outer", F.explode(others).alias("h")).select("id", F.xxhash64("outer", "h").alias("h"))
         rows = self.space.save(rows.distinct(), "refined")
         sizes = self.space.save(rows.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "repeated")
         return by_size(rows, sizes, "h")
@@ -268,12 +281,10 @@ class Linker:
     def inside(self, mixed: DataFrame) -> DataFrame:
         """Pairs (a, b) of one bucket whose ends are in different components; the largest component's nodes needn't meet one another.
 
-        Only buckets that three bands have in common, 12 registers of documents, may be large here;
-        each side of a bucket is dealt out by salts. Screening is part of the join.
+        Only a bucket that three bands have in common, 12 registers of documents, may have many nodes
+        outside its largest component here. Its nodes are dealt out by salts, and screening is part of the join.
         """
-        sizes = mixed.groupBy("h", "comp").agg(F.count("*").alias("size")).groupBy("h").agg(F.expr("max_by(comp, struct(size, comp))").alias("main"), F.sum("size").alias("size"))
-        rows = by_size(mixed, self.space.save(sizes, "mains"), "h").withColumn("salts", F.ceil(F.col("n_bucket") / SMALL_BUCKET).cast("int"))
-        rows = rows.join(self.active.select("id", *self.columns), "id")
+        rows = mixed.withColumn("salts", F.ceil(F.col("n_bucket") / DEAL).cast("int")).join(self.active.select("id", *self.columns), "id")
 
         def side(rows: DataFrame, end: str, *more) -> DataFrame:
             return rows.select("h", F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("comp", *self.columns)), *more)

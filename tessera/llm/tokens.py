@@ -23,7 +23,7 @@ from tessera.llm.words import worker
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks in a generation of the memo; a worker keeps this one and the last. Results don't depend on it.
-MEMO = 500_000
+MEMO = 150_000
 #: White space that byte-level chunking leaves to the library.
 OTHER_SPACE = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z")
 

@@ -23,6 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows that a Python worker is sent at once while a table is written: texts may be long, and memory is bounded.
+BATCH_ROWS = 1_000
+ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Workspace:
     """A folder of intermediate tables that belongs to one call of one operator."""
 
@@ -38,7 +43,12 @@ class Workspace:
     def write(self, df: DataFrame, name: str) -> str:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(ROWS_SETTING)
+        self.spark.conf.set(ROWS_SETTING, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(ROWS_SETTING, before)
         return path
 
     def drop(self, *tables: DataFrame) -> None:

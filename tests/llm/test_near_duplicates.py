@@ -144,7 +144,8 @@ def test_passages_equal_brute_force(spark):
 
 def test_large_buckets_are_refined(spark, monkeypatch):
     """Nodes that share one band by chance, in groups that link only inside, get the same groups as all pairs."""
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(neardup, "FEW", 1)
+    monkeypatch.setattr(neardup, "DEAL", 3)
     monkeypatch.setattr("tessera.llm.joins.LEAST_HOT", 3)
     r, texts = random.Random(8), []
     common = prose(99, 60).replace("\n", " ")
