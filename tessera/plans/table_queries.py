@@ -45,6 +45,13 @@ def cost_checkpoints(spark, d):
     return _round(evaluation.checkpoints(_rows(spark, d), [0.5, 1.5, 4.0], "agent_cost"), "accuracy")
 
 
+def paired_outcomes_whole(spark, d):
+    """Customers in credit against customers with an open order; those without orders are unpaired."""
+    left = _t(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), (F.col("c_acctbal") > 0).alias("is_correct"))
+    right = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("query_id")).agg(F.bool_or(F.col("o_orderstatus") == "O").alias("is_correct"))
+    return evaluation.paired_outcomes(left, right)
+
+
 def paired_outcomes(spark, d):
     rows = _rows(spark, d)
     return evaluation.paired_outcomes(rows.select("query_id", "is_correct"), rows.where("query_id % 7 <> 0").select("query_id", F.col("terminal_valid").alias("is_correct")))
@@ -211,6 +218,13 @@ def query_similarity(spark, d):
     return out.select("query_id", "vec_id", F.col("rank").alias("rank_"), F.round("sim", 6).alias("sim"))
 
 
+def query_similarity_whole(spark, d):
+    """The ten nearest others of every hundredth vector, held in blocks against all vectors."""
+    e = _t(spark, d, "embeddings")
+    out = vectors.nearest(e, 10, queries=e.where("vec_id % 100 = 0"))
+    return out.select(F.col("src").alias("query_id"), F.col("dst").alias("vec_id"), F.col("rank").alias("rank_"), F.round("sim", 6).alias("sim"))
+
+
 def rrf_fusion(spark, d):
     lex = lexical.ranked(_bm25(spark, d), 50).select("query_id", "doc_id", F.lit("lexical").alias("channel"), "rank")
     docs = _t(spark, d, "documents").select("doc_id", F.size(tokens(F.col("text"))).cast("double").alias("score"))
@@ -245,6 +259,18 @@ def region_route(spark, d):
     return hits.groupBy("query_id", "region").agg(F.count("*").alias("hits"), F.min_by("doc_id", "rank").alias("best"))
 
 
+def region_route_whole(spark, d):
+    """All matches of each query by region: how many, and the best one."""
+    hits = lexical.ranked(_bm25(spark, d)).join(_t(spark, d, "documents").select("doc_id", F.col("source").alias("region")), "doc_id")
+    return hits.groupBy("query_id", "region").agg(F.count("*").alias("hits"), F.min_by("doc_id", "rank").alias("best"))
+
+
+def set_operations_whole(spark, d):
+    """Customers without orders, and all that have some."""
+    c, o = _t(spark, d, "customer").select(F.col("c_custkey").alias("k")), _t(spark, d, "orders").select(F.col("o_custkey").alias("k"))
+    return c.exceptAll(o.distinct()).select("k", F.lit("no_orders").alias("kind")).unionByName(c.intersect(o).select("k", F.lit("orders").alias("kind")))
+
+
 def set_operations(spark, d):
     c, o = _t(spark, d, "customer").select(F.col("c_custkey").alias("k")), _t(spark, d, "orders").select(F.col("o_custkey").alias("k"))
     return c.exceptAll(o.distinct()).select("k", F.lit("no_orders").alias("kind")).unionByName(c.intersect(o).where("k % 100 = 0").select("k", F.lit("hundredth").alias("kind")))
@@ -308,6 +334,7 @@ QUERIES = {
     "passive_checkpoints": (passive_checkpoints, _ck([5, 15, 30], "turn_count")),
     "cost_checkpoints": (cost_checkpoints, _ck([0.5, 1.5, 4.0], "agent_cost")),
     "paired_outcomes": (paired_outcomes, f"WITH {_R}, p AS (SELECT a.is_correct AS a, b.terminal_valid AS b FROM r a LEFT JOIN r b ON a.query_id = b.query_id AND b.query_id % 7 <> 0) SELECT count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS left_only, count(*) FILTER (NOT a AND b) AS right_only, count(*) FILTER (NOT a AND NOT b) AS neither, count(*) FILTER (a IS NULL OR b IS NULL) AS unpaired FROM p"),
+    "paired_outcomes_whole": (paired_outcomes_whole, "WITH o AS (SELECT o_custkey AS k, bool_or(o_orderstatus = 'O') AS b FROM orders GROUP BY 1), p AS (SELECT c_acctbal > 0 AS a, b FROM customer FULL JOIN o ON c_custkey = k) SELECT count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS left_only, count(*) FILTER (NOT a AND b) AS right_only, count(*) FILTER (NOT a AND NOT b) AS neither, count(*) FILTER (a IS NULL OR b IS NULL) AS unpaired FROM p"),
     "breakdown": (breakdown, f"WITH {_R} SELECT lang, source, count(*) AS n, round(avg(CASE WHEN is_correct THEN turn_count * 2.5 ELSE 0 END), 2) AS overall, round(100 * avg(is_correct::INT), 2) AS correctness FROM r GROUP BY GROUPING SETS ((lang), (source), ())"),
     "graded_retrieval": (graded_retrieval, f"WITH {_index}, o AS ({_ordered}), g AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), h AS (SELECT g.*, CASE WHEN o.rank <= 100 THEN o.rank END AS rank, row_number() OVER (PARTITION BY g.query_id ORDER BY g.doc_id) AS best FROM g LEFT JOIN o ON o.query_id = g.query_id AND o.doc_id = g.doc_id) SELECT query_id, round(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / sum(CASE WHEN best <= 10 THEN 1 / log2(best + 1) ELSE 0 END), 6) AS ndcg_at_10, round(count(*) FILTER (rank <= 10) / count(*), 6) AS recall_at_10, round(count(*) FILTER (rank <= 100) / count(*), 6) AS recall_at_100 FROM h GROUP BY query_id"),
     "running_cost": (running_cost, f"WITH {_turns} SELECT event_id, user_id, turn::INT AS turn, round(running, 6) AS running FROM t"),
@@ -336,8 +363,12 @@ QUERIES = {
     "coherence": (coherence, f"{_G}, h AS (SELECT src AS q, dst AS d FROM nn WHERE rank <= 8) SELECT x.q AS query_id, round(avg((g.src IS NOT NULL)::INT), 6) AS coherence FROM h x JOIN h y ON x.q = y.q AND x.d < y.d LEFT JOIN g ON g.src = x.d AND g.dst = y.d GROUP BY 1"),
     "rank_overlap": (rank_overlap, f"WITH {_nn}, k AS (SELECT src, dst, rank AS a, row_number() OVER (PARTITION BY src ORDER BY dst) AS b FROM nn WHERE rank <= 16) SELECT src AS query_id, round(sum(list_sum(list_transform(range(greatest(a, b), 17), lambda d: 0.1 * pow(0.9, d - 1) / d))), 6) AS rbo FROM k GROUP BY src"),
     "query_similarity": (query_similarity, f"WITH e AS {_u}, p AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v) AS sim FROM e q JOIN e ON q.vec_id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS rank_ FROM p) SELECT query_id, vec_id, rank_::INT AS rank_, round(sim, 6) AS sim FROM r WHERE rank_ <= 10"),
+    "query_similarity_whole": (query_similarity_whole, f"WITH {_nn} SELECT src AS query_id, dst AS vec_id, rank::INT AS rank_, round(sim, 6) AS sim FROM nn WHERE src % 100 = 0 AND rank <= 10"),
     "rrf_fusion": (rrf_fusion, f"WITH {_index}, o AS ({_ordered}), w AS (SELECT doc_id, row_number() OVER (ORDER BY n DESC, doc_id) AS rank FROM (SELECT doc_id, count(DISTINCT term) AS n FROM tok GROUP BY doc_id UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM tok))), c AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS s FROM o WHERE rank <= 50 UNION ALL SELECT item_id, doc_id, 0.25 / (60 + rank) FROM benchmark, w WHERE rank <= 50), f AS (SELECT query_id, doc_id, sum(s)::DOUBLE AS score FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank_ FROM f) SELECT query_id, doc_id, rank_::INT AS rank_, round(score, 6) AS score FROM r WHERE rank_ <= 10"),
+    "rrf_fusion_whole": (whole_fusion, f"WITH {_index}, o AS ({_ordered}), w AS (SELECT doc_id, row_number() OVER (ORDER BY n DESC, doc_id) AS rank FROM (SELECT doc_id, count(DISTINCT term) AS n FROM tok GROUP BY doc_id UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM tok))), c AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS s FROM o UNION ALL SELECT item_id, doc_id, 0.25 / (60 + rank) FROM benchmark, w), f AS (SELECT query_id, doc_id, sum(s)::DOUBLE AS score FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank_ FROM f) SELECT query_id, doc_id, rank_::INT AS rank_, round(score, 6) AS score FROM r WHERE rank_ <= 10"),
     "region_route": (region_route, f"WITH {_index}, o AS ({_ordered}) SELECT query_id, source AS region, count(*) AS hits, arg_min(doc_id, rank) AS best FROM o JOIN documents USING (doc_id) WHERE rank <= 100 GROUP BY ALL"),
+    "region_route_whole": (region_route_whole, f"WITH {_index}, o AS ({_ordered}) SELECT query_id, source AS region, count(*) AS hits, arg_min(doc_id, rank) AS best FROM o JOIN documents USING (doc_id) GROUP BY ALL"),
+    "set_operations_whole": (set_operations_whole, "SELECT c_custkey AS k, 'no_orders' AS kind FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'orders' FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"),
     "set_operations": (set_operations, "SELECT c_custkey AS k, 'no_orders' AS kind FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'hundredth' FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey % 100 = 0"),
     "invalid_extra": (invalid_extra, "SELECT o_orderkey, len(list_filter(list_distinct([o_orderkey % 7, o_orderkey % 11, o_orderkey % 13]), lambda x: x <> o_custkey % 5 AND x <> o_custkey % 11 AND x <> o_orderkey % 3))::INT AS extra, len(list_distinct([o_orderkey % 7, o_orderkey % 11, o_orderkey % 13, o_custkey % 5, o_custkey % 11]))::INT AS union_ FROM orders"),
     "pagination": (pagination, "SELECT c_custkey, c_acctbal, greatest(0, (SELECT count(*) FROM customer) - 50)::BIGINT AS remaining FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 30 OFFSET 20"),

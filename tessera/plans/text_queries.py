@@ -74,6 +74,12 @@ def final_texts(spark, d):
     return c.select("conv_id", "turn", X.final_text(made).alias("final_text"))
 
 
+def final_texts_whole(spark, d):
+    """Whole turns, every second one inside a <FINAL> element."""
+    made = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("x <FINAL> "), F.col("text"), F.lit(" </FINAL> y"))).otherwise(F.col("text"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", X.final_text(made).alias("final_text"))
+
+
 def content_hash_ids(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.concat(F.lit("W2"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 24)).alias("docid"))
 
@@ -190,6 +196,7 @@ e AS (SELECT conv_id, turn, regexp_extract_all(x, '(?:^|[^A-Za-z0-9_])D([^\s\t|:
 u AS (SELECT conv_id, turn, regexp_replace(unnest(h), '\.+$', '') AS h, generate_subscripts(h, 1) AS i FROM e),
 f AS (SELECT conv_id, turn, h, min(i) AS i FROM u GROUP BY ALL) SELECT conv_id, turn, string_agg(h, ',' ORDER BY i) AS handles FROM f GROUP BY ALL"""),
     "final_texts": (final_texts, r"SELECT conv_id, turn, trim(substr(text, 1, 40)) AS final_text FROM conversations"),
+    "final_texts_whole": (final_texts_whole, r"WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'x <FINAL> ' || text || ' </FINAL> y' ELSE text END AS t FROM conversations) SELECT conv_id, turn, trim(CASE WHEN regexp_matches(t, '(?is)<FINAL>.*?</FINAL>') THEN regexp_extract(t, '(?is)<FINAL>(.*?)</FINAL>', 1) ELSE t END) AS final_text FROM m"),
     "content_hash_ids": (content_hash_ids, "SELECT doc_id, 'W2' || substr(sha256(text), 1, 24) AS docid FROM documents"),
     "secret_scan": (secret_scan, r"""SELECT * FROM (
 SELECT doc_id, 'underscore_api_key' AS pattern, len(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])sk_[A-Za-z0-9]{32,}\b'))::INT AS hits FROM documents UNION ALL

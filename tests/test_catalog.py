@@ -10,13 +10,17 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SOME = ["titles", "token_sets", "domain_counts", "bm25_top10", "endpoint_summary", "lead_ledger", "exact_knn", "bridges", "hash_split", "rrf_fusion", "breakdown", "paired_outcomes", "duplicate_texts"]
 
 
+#: The same without cuts: whole ranks, texts and tables, or every hundredth vector as a query.
+WHOLE = ["region_route_whole", "query_similarity_whole", "rrf_fusion_whole", "set_operations_whole", "paired_outcomes_whole", "final_texts_whole"]
+
+
 def text(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else repr(round(v, 9))
     return str(v)
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", SOME + WHOLE)
 def test_query_equals_oracle(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
