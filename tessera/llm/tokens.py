@@ -5,7 +5,8 @@ special tokens in a text become these tokens. Byte-level and word-level BPE
 never join characters across some places, whatever stands around them, so the chunks between
 such places are encoded once per worker and looked up after that:
 
-* word-level files drop white space, so every space and newline is such a place;
+* word-level files cut a text into runs of letters, digits, runs of symbols and endings; texts below U+0100 are cut
+  alike here, others at their white space;
 * byte-level files attach a single space to the word behind it and make a single newline a token
   of its own. Texts with any other white space are encoded whole.
 """
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
@@ -23,7 +23,7 @@ from tessera.llm.words import worker
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks in a generation of the memo; a worker keeps this one and the last. Results don't depend on it.
-MEMO = 150_000
+MEMO = 300_000
 #: White space that byte-level chunking leaves to the library.
 OTHER_SPACE = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z")
 
@@ -32,8 +32,16 @@ OTHER_SPACE = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z")
 KNOWN = ["", "\n", ".", ","]
 
 
-#: Below it every letter has one small letter, and normalization keeps it.
-LATIN = "\u0130"
+#: Letters and symbols below U+0100 that normalization keeps, and that make runs of their own whatever stands beside
+#: them. An apostrophe may start an ending and isn't among them.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+SYMBOLS = r"!-&(-/:-@\[-`{-~"
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+ONE = re.compile(f"[{LETTERS}]+|[{SYMBOLS}]+|[0-9]|{ENDINGS}")
+AROUND = re.compile(f"([{SYMBOLS}]*)([{LETTERS}]+)([{SYMBOLS}]*)")
+#: The runs of a word-level file in a text below U+0100, as its pre-tokenizer states them: endings, letters, single digits, anything but white space.
+NUMBERS = "0-9²³¹¼½¾"
+RUNS = re.compile(rf"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^\t-\r \x85\xa0{LETTERS}{NUMBERS}]+")
 
 
 class Encoder:
@@ -47,6 +55,11 @@ class Encoder:
         # texts that hold a token of the file's own as a string are encoded whole; without any, nothing matches
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
+        vocab = self.tokenizer.get_vocab()
+        #: Whether an id ends a run of a word-level file, or begins a chunk of a byte-level one, whose names for space and newline these are.
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)
+        self.edge[[i for t, i in vocab.items() if (t.endswith("</w>") if words else t.startswith(("Ġ", "Ċ")))]] = True
+        self.newline = -1 if words else vocab["Ċ"]
         self.memo: dict[str, bytes] = dict(zip(KNOWN, self.whole(KNOWN)))
         self.old: dict[str, bytes] = {}
 
@@ -58,10 +71,9 @@ class Encoder:
         if self.words:
             try:
                 text.encode("latin-1")
-                text = text.lower()  # as normalization does; letters beyond Latin-1 are left to the library
-            except UnicodeEncodeError:
-                pass
-            return text.replace("\n", " ").split(" ")
+            except UnicodeEncodeError:  # what normalization does with these letters is left to the library
+                return text.replace("\n", " ").split(" ")
+            return RUNS.findall(text.lower())
         parts = []
         for line in text.split("\n"):
             # a word behind a space is looked up with a mark, its chunk has the space
@@ -83,52 +95,70 @@ class Encoder:
                 odd.append(text)
             else:
                 lists.append(self._chunks(text))
-        flat = list(chain.from_iterable(x for x in lists if x))
-        found = list(map(self.memo.get, flat))
-        if None in found:
-            self._learn({c for c, v in zip(flat, found) if v is None})
-            found = [self.memo[c] if v is None else v for c, v in zip(flat, found)]
-        rest, out, at = iter(self.whole(odd)), [], 0
-        for x in lists:
-            if x is None:
-                out.append(next(rest))
-            else:
-                out.append(b"".join(found[at : at + len(x)]))
-                at += len(x)
-        return out
+        chunks = set().union(*filter(None, lists))
+        new = chunks.difference(self.memo)
+        if new and len(self.memo) + len(new) > MEMO:
+            self.memo, self.old = {c: self.memo[c] for c in KNOWN}, self.memo
+            new = chunks.difference(KNOWN)
+        self._learn(new)
+        rest, ids = iter(self.whole(odd)), self.memo.__getitem__
+        return [next(rest) if x is None else b"".join(map(ids, x)) for x in lists]
+
+    def _parts(self, chunk: str) -> tuple[str, ...]:
+        """The chunk, or the runs that it falls into; the first one has the chunk's mark."""
+        mark = "" if self.words or chunk[0] != "\0" else "\0"
+        found = AROUND.fullmatch(chunk, len(mark))
+        if not found:
+            return (chunk,)
+        runs = [x for x in found.groups() if x]
+        return (mark + runs[0], *runs[1:])
 
     def _learn(self, new: set[str]) -> None:
-        """Encode chunks, many of them in one text; what an id belongs to is told by its last character.
-
-        A full stop or comma behind a letter is a piece of its own, so the chunk before it is looked up instead.
-        """
-        if len(self.memo) + len(new) > MEMO:
-            self.memo, self.old = {c: self.memo[c] for c in KNOWN}, self.memo
+        """Encode chunks, each of their runs once, after a look at the last generation."""
         old, memo = self.old, self.memo
         if old:
             memo.update([(c, old[c]) for c in new if c in old])
-            new = [c for c in new if c not in old]
-        tails = [c for c in new if c[-1] in ".," and c[-2:-1].isalpha() and c[-2] < LATIN]
-        stems = {c[:-1] for c in tails}.union(new).difference(tails, memo)
-        self._encode(list(stems))
-        memo.update([(c, memo[c[:-1]] + memo[c[-1]]) for c in tails])
-
-    def _encode(self, rest: list[str]) -> None:
-        for k in range(0, len(rest), 4000):
-            some = rest[k : k + 4000]
-            # a byte-level chunk stands behind its space or behind a newline, whose own id is left out
-            bare = some if self.words else [c.replace("\0", "", 1) for c in some]
-            text = "".join(" " + c if self.words or len(c) < len(m) else "\n" + c for c, m in zip(bare, some))
-            length = np.fromiter(map(len, bare), np.int64, len(bare)) + 1
-            first = np.cumsum(length) - length
-            found = self.tokenizer.encode(text, add_special_tokens=False)
+            new = new.difference(old)
+        parts = {c: p for c in new if not ONE.fullmatch(c) and len(p := self._parts(c)) > 1}
+        runs = new.difference(parts).union(*parts.values()).difference(memo)
+        if old:
+            memo.update([(c, old[c]) for c in runs if c in old])
+            runs = runs.difference(old)
+        if self.words:
+            one = [c for c in runs if ONE.fullmatch(c)]
+            self._encode(one)
+            self._encode_by_place(list(runs.difference(one)))
+        else:
+            self._encode(list(runs))
+        memo.update([(c, b"".join(map(memo.__getitem__, p))) for c, p in parts.items()])
+
+    def _encode(self, chunks: list[str]) -> None:
+        """Encode chunks, many of them in one text; ids themselves tell where a chunk begins or ends.
+
+        The last id of a run is one with the mark of word ends, if the file has them. A byte-level chunk stands behind
+        its space, which only its first id can have, or behind a newline, whose own id is left out.
+        """
+        for k in range(0, len(chunks), 4000):
+            some = chunks[k : k + 4000]
+            text = " ".join(some) if self.words else "".join(" " + c[1:] if c[0] == "\0" else "\n" + c for c in some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            edge = self.edge[ids]
+            of = np.cumsum(edge) - (edge if self.words else 1)
+            own = ids != self.newline
+            self._keep(some, ids[own], of[own])
+
+    def _encode_by_place(self, chunks: list[str]) -> None:
+        """As _encode, for chunks of any number of runs: what an id belongs to is told by its last character."""
+        for k in range(0, len(chunks), 4000):
+            some = chunks[k : k + 4000]
+            length = np.fromiter(map(len, some), np.int64, len(some)) + 1
+            found = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
             at = np.fromiter((b - 1 for _, b in found.offsets), np.int64, len(found.ids))
-            ids = np.array(found.ids, "<u4")
-            own = np.ones(len(at), bool) if self.words else np.fromiter((text[a] != "\n" for a in at), bool, len(at))
-            of = np.searchsorted(first, at[own], "right") - 1
-            raw, ends = ids[own].tobytes(), 4 * np.cumsum(np.bincount(of, minlength=len(some)))
-            starts = [0, *ends[:-1].tolist()]
-            self.memo.update((c, raw[a:b]) for c, a, b in zip(some, starts, ends.tolist()))
+            self._keep(some, np.array(found.ids, "<u4"), np.searchsorted(np.cumsum(length) - length, at, "right") - 1)
+
+    def _keep(self, chunks: list[str], ids: np.ndarray, of: np.ndarray) -> None:
+        raw, ends = ids.tobytes(), (4 * np.cumsum(np.bincount(of, minlength=len(chunks)))).tolist()
+        self.memo.update((c, raw[a:b]) for c, a, b in zip(chunks, [0, *ends], ends, strict=False))
 
 
 def encoder(path: str, words: bool) -> Encoder:

@@ -24,6 +24,13 @@ def test_memo_gives_the_librarys_ids(texts):
         assert e.encode(texts) == e.whole(texts)
 
 
+@given(st.lists(st.text(alphabet="abRSstÑøªµ²½×_$%(\"#&'~.|< \n\u00a0\u0307漢", max_size=30), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_runs_give_the_librarys_ids(texts):
+    for e in ENCODERS.values():
+        assert e.encode(texts) == e.whole(texts)
+
+
 def test_memo_survives_new_generations(monkeypatch):
     from tessera.llm import tokens
 
