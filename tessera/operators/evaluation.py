@@ -84,8 +84,8 @@ def graded_retrieval(ranks: DataFrame, grades: DataFrame) -> DataFrame:
 
 
 def running_cost(events: DataFrame, key: str, order: list[str], cost: str) -> DataFrame:
-    """events with turn, their number from 1, and running, the cost up to and with them."""
-    w = Window.partitionBy(key).orderBy(*order)
+    """events with turn, their number from 1, and running, the cost up to and with them; nulls in order come last."""
+    w = Window.partitionBy(key).orderBy(*(F.col(c).asc_nulls_last() for c in order))
     return events.withColumn("turn", F.row_number().over(w)).withColumn("running", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
