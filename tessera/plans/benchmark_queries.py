@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.text import simple_upper
 from tessera.operators import benchmarks as B
 from tessera.plans.text_queries import _t
 
@@ -113,8 +114,8 @@ def selector_prompts(spark, d):
 def fanout_scores(spark, d):
     """Atoms are words of a passage and one that it lacks; the answer is the passage in capitals, with other punctuation."""
     rows = _t(spark, d, "benchmark").withColumn("w", F.split("text", " "))
-    atoms = rows.select(F.col("item_id").alias("question_id"), F.explode(F.array(F.get("w", F.lit(0)), F.upper(F.get("w", F.lit(3))), F.when(F.col("item_id") % 3 == 0, "1,204 zz").otherwise(F.get("w", F.lit(5))))).alias("value"))
-    answers = rows.where("item_id % 8 <> 7").select(F.col("item_id").alias("question_id"), F.concat(F.upper("text"), F.when(F.col("item_id") % 6 == 0, " -- 1204 ZZ!").otherwise("")).alias("answer"))
+    atoms = rows.select(F.col("item_id").alias("question_id"), F.explode(F.array(F.get("w", F.lit(0)), simple_upper(F.get("w", F.lit(3))), F.when(F.col("item_id") % 3 == 0, "1,204 zz").otherwise(F.get("w", F.lit(5))))).alias("value"))
+    answers = rows.where("item_id % 8 <> 7").select(F.col("item_id").alias("question_id"), F.concat(simple_upper(F.col("text")), F.when(F.col("item_id") % 6 == 0, " -- 1204 ZZ!").otherwise("")).alias("answer"))
     return B.fanout_scores(atoms, answers)
 
 

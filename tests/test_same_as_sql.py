@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tessera import catalog
+from tessera.functions import text as X
 
 
 def held_against_sql(spark, folder, names, **tables):
@@ -21,3 +22,16 @@ def test_events_without_time_or_id_come_last(spark, tmp_path):
     rows = [(1, 10, 7, 900.0), (2, None, 7, 1500.0), (3, 20, 7, 600.0), (4, 30, 7, 700.0), (None, 20, 7, 1.0), (5, 10, 8, 2000.0)]
     rows = spark.createDataFrame(rows, "event_id long, t long, user_id long, value double")
     held_against_sql(spark, tmp_path, ["budget_trigger", "running_cost"], events=rows.select("event_id", F.timestamp_seconds("t").alias("ts"), "user_id", "value"))
+
+
+def test_capitals_of_several_characters_null_atoms_and_commas(spark, tmp_path):
+    texts = ["Erßie x y z u v", "ŉa ǰb ﬁc ᾳd λόγος ẞe v", "1,2,3 a b 1,23 c 4,5,6 d", "one two", "Σας İx a b c d e", ""]
+    rows = [(i, t) for i, t in enumerate(8 * texts)]
+    held_against_sql(spark, tmp_path, ["fanout_scores"], benchmark=spark.createDataFrame(rows, "item_id long, text string"))
+
+
+def test_simple_case_of_all_characters(spark):
+    made = [c for c in map(chr, range(1, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and len(c.upper()) > 1] + ["aß", "ΑΣ", "İ"]
+    rows = spark.createDataFrame([(c,) for c in made], "c string").select("c", X.simple_upper(F.col("c")).alias("u"), X.simple_lower(F.col("c")).alias("l"))
+    con = duckdb.connect()
+    assert [tuple(x) for x in rows.collect()] == [(c, *con.execute("SELECT upper(?), lower(?)", [c, c]).fetchall()[0]) for c in made]
