@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera import catalog
 from tessera.functions import text as X
+from tessera.operators import router_data
 
 
 def held_against_sql(spark, folder, names, **tables):
@@ -35,3 +36,14 @@ def test_simple_case_of_all_characters(spark):
     rows = spark.createDataFrame([(c,) for c in made], "c string").select("c", X.simple_upper(F.col("c")).alias("u"), X.simple_lower(F.col("c")).alias("l"))
     con = duckdb.connect()
     assert [tuple(x) for x in rows.collect()] == [(c, *con.execute("SELECT upper(?), lower(?)", [c, c]).fetchall()[0]) for c in made]
+
+
+def test_negatives_are_ranked_once_for_all_queries_of_a_document(spark):
+    places = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 4).alias("leaf"), (F.col("id") % 2).alias("parent"))
+    positives = spark.range(300).select(F.col("id").alias("query_id"), (F.col("id") % 3).alias("doc_id"))
+    found = router_data.region_negatives(positives.unionByName(positives), places, 4)
+    rows = found.collect()
+    assert len(rows) == 300 * 8 and {x.n for x in rows} == {1, 2, 3, 4}
+    assert len({(x.query_id % 3, x.doc_id, x.pool, x.n) for x in rows}) == 3 * 8
+    windows = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    assert windows and not any("query_id" in line for line in windows)
