@@ -15,8 +15,8 @@ computed again from the texts.
 A bucket of copies isn't expanded into pairs. First each node is held against the least node of
 each of its buckets, then what has not joined its bucket's largest component against a
 member drawn by hash. What is still outside its bucket's largest component is held against all of
-the bucket; where that is more than a few hundred nodes, the bucket is refined by a second and a
-third band that its nodes share. Links inside a component can't change the components, so none is lost.
+the bucket; where that is more than a few hundred nodes, they are met by the rarest shingles of their
+full sets instead, which loses none. Links inside a component can't change the components, so none is lost.
 """
 
 from __future__ import annotations
@@ -39,10 +39,10 @@ from tessera.llm.workspace import Workspace
 MANTISSA = 10
 #: Numbers of shingles hashed at once: few enough for the processor's cache.
 CHUNK = 1 << 15
-#: Nodes outside a bucket's largest component that are held against all of its nodes at most; with more, the bucket is refined first.
+#: Nodes outside a bucket's largest component that are held against all of its nodes; with more, they meet by their rarest shingles.
 FEW = 256
-#: Nodes of a bucket that a task holds another node against, and other bands that a bucket is refined by.
-DEAL, MORE_BANDS = 128, 8
+#: Nodes of a bucket that a task holds another node against.
+DEAL = 128
 #: Chance that two distinct minima of sets of n and m shingles share a register is about
 #: COLLIDE * n * m / (n + m)^2: the mean register width over its distance from zero is 1 / (2 ln 2).
 COLLIDE = 0.5 / np.log(2) / 2**MANTISSA
@@ -248,38 +248,41 @@ class Linker:
             if not new.isEmpty():
                 self.add(new)
                 mixed = self.mixed(mixed)
-        for depth in range(3):
-            few = mixed if depth == 2 else mixed.where(F.col("n_left") <= FEW)
-            new = self.verify(self.inside(few))
+        new = self.verify(self.inside(mixed.where(F.col("n_left") <= FEW)))
+        if not new.isEmpty():
+            self.add(new)
+        large = mixed.where(F.col("n_left") > FEW)
+        if not large.isEmpty():
+            new = self.verify(self.inside(self.mixed(self.prefixes(self.mixed(large)))))
             if not new.isEmpty():
                 self.add(new)
-            large = mixed.where(F.col("n_left") > FEW)
-            if depth == 2 or large.isEmpty():
-                break
-            large = self.mixed(large)
-            mixed = self.mixed(self.refined(large.where(F.col("n_left") > FEW)))
-            rest = large.where(F.col("n_left") <= FEW)
-            if not rest.isEmpty():
-                mixed = self.space.save(mixed.unionByName(rest), "joined")
         return self.labels
 
-    def refined(self, mixed: DataFrame) -> DataFrame:
-        """(h, id): buckets of the nodes that share a bucket of mixed and another band's value."""
-        bands = self.shape.bands
-        held = self.active.select("id", F.transform("sketch", lambda v, k: F.xxhash64(k, v)).alias("values")).join(mixed.select("id", F.col("h").alias("outer")), "id")
-        place = F.array_position("values", F.col("outer"))
-        # a bucket that is refined itself has a place of no band; its nodes are refined by all bands
-        others = F.when(place > 0, F.transform(F.sequence(F.lit(1), F.lit(min(MORE_BANDS, bands - 1))), lambda k: F.get("values", ((place - 1 + k) % bands).cast("int")))).otherwise(F.col("values"))
-        rows = held.select("id", "outer", F.explode(others).alias("h")).select("id", F.xxhash64("outer", "h").alias("h"))
-        rows = self.space.save(rows.distinct(), "refined")
-        sizes = self.space.save(rows.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "repeated")
-        return by_size(rows, sizes, "h")
+    def prefixes(self, mixed: DataFrame) -> DataFrame:
+        """(h, id): buckets of the nodes of mixed that have one of their rarest shingles in common.
+
+        Sets of n and m shingles that reach the threshold share at least percent / 100 of the larger
+        one, so they share one of the first n - that + 1 in the order of all these nodes' frequencies.
+        No pair is lost, and what many texts have in common comes last.
+        """
+        wanted = self.space.save(self.active.select("id", "node", "key").join(mixed.select("id").distinct(), "id"), "wanted")
+        sets = self.space.save(self.fetch(wanted), "sets")
+        each = sets.select("id", F.size("shingles").alias("m"), F.explode("shingles").alias("h"))
+        repeated = each.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").withColumn("often", F.col("size"))
+        shared = by_size(each, self.space.save(repeated, "shared"), "h")
+        # shingles of one node only stand first, and meet nothing
+        some = F.col("m") - F.ceil(F.col("m") * self.percent / 100).cast("int") + 1 - (F.col("m") - F.size("o"))
+        rows = shared.groupBy("id", "m").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("o"))
+        rows = rows.select("id", F.explode(F.slice("o", F.lit(1), F.greatest(some, F.lit(0)))).alias("x")).select("id", "x.h")
+        rows = self.space.save(rows, "prefixes")
+        self.space.drop(sets, wanted)
+        self.space.sweep()
+        return rows
 
     def inside(self, mixed: DataFrame) -> DataFrame:
         """Pairs (a, b) of one bucket whose ends are in different components; the largest component's nodes needn't meet one another.
 
-        Only a bucket that three bands have in common, 12 registers of documents, may have many nodes
-        outside its largest component here. Its nodes are dealt out by salts, and screening is part of the join.
+        A bucket's nodes are dealt out by salts, and screening is part of the join, so its size has no bound.
         """
         rows = mixed.withColumn("salts", F.ceil(F.col("n_bucket") / DEAL).cast("int")).join(self.active.select("id", *self.columns), "id")
 
