@@ -10,13 +10,15 @@ one tells which chunks may be repeated, the other which documents lose any. So t
 nothing to lose never move between executors. Chunks with very many copies are joined as hot groups.
 
 Chunks are cut where the hash says, so the ends of a passage, and short passages, may stay: that
-is dedup, which the oracle defines. deduped, the pipeline's stage, compares all pairs of
-neighbouring lines instead, which overlap and so grow to whole passages of two lines or more.
+is dedup, which the oracle defines. deduped, the pipeline's stage, removes these chunks, and then
+compares all pairs of neighbouring lines of the whole texts, which overlap and so grow to whole
+passages of two lines or more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,8 +97,10 @@ def removals(docs: DataFrame, space: Workspace, cut: Callable[[DataFrame], DataF
     return joined.where("not (doc_id <=> at.doc_id and number = at.number)").select("doc_id", "number", "hash")
 
 
-def dedup(docs: DataFrame, cut: Callable[[DataFrame], DataFrame] = chunks) -> DataFrame:
-    """docs without repeated chunks, or without the lines of repeated pairs, all columns, and n_lines and n_removed, their numbers of lines before and removed.
+def dedup(docs: DataFrame, *more: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without repeated chunks, all columns, and n_lines and n_removed, their numbers of lines before and removed.
+
+    more are other ways to cut the whole texts, as pairs is, whose repeated parts go as well.
 
     Every row of docs stays, with an empty text if nothing is left of it. A null text stays null
     with 0 lines; an empty one is one blank line. Rows of one doc_id with equal texts are one
@@ -104,8 +108,9 @@ def dedup(docs: DataFrame, cut: Callable[[DataFrame], DataFrame] = chunks) -> Da
     docs that have one of the added names are replaced.
     """
     space = Workspace(docs.sparkSession, "lines")
-    gone = removals(docs, space, cut)
-    gone = space.save(gone.groupBy("doc_id").agg(F.collect_set(F.struct("number", "hash")).alias("gone")), "gone")
+    cuts = (chunks, *more)
+    gone = reduce(DataFrame.unionByName, (removals(docs, space, cut).withColumn("way", F.lit(way)) for way, cut in enumerate(cuts)))
+    gone = space.save(gone.groupBy("doc_id").agg(F.collect_set(F.struct("way", "number", "hash")).alias("gone")), "gone")
     plain = docs.drop("n_lines", "n_removed")
     names = plain.columns
     held = plain.toDF(*(f"c{i}" for i in range(len(names)))).select(
@@ -115,9 +120,11 @@ def dedup(docs: DataFrame, cut: Callable[[DataFrame], DataFrame] = chunks) -> Da
     held = marked(held, F.col("doc_id"), gone.select(F.xxhash64("doc_id").alias("h")))
     # merge: the removals grow with the corpus, so no size is right for a broadcast
     touched = held.where("passed").drop("passed").join(gone.withColumnRenamed("doc_id", "of").hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    touched = cut(touched)
-    lost = F.filter("chunks", lambda c: F.array_contains("gone", F.struct(c["number"].alias("number"), F.xxhash64(c["text"]).alias("hash"))))
-    lost = F.flatten(F.transform(lost, lambda c: F.sequence(c["first"], c["last"])))  # pairs overlap
+    for way, cut in enumerate(cuts):
+        touched = cut(touched).withColumn("way", F.lit(way))
+        lost = F.filter("chunks", lambda c: F.array_contains("gone", F.struct(F.col("way"), c["number"].alias("number"), F.xxhash64(c["text"]).alias("hash"))))
+        touched = touched.withColumn(f"lost{way}", F.flatten(F.transform(lost, lambda c: F.sequence(c["first"], c["last"])))).drop("chunks")
+    lost = F.concat(*(F.col(f"lost{way}") for way in range(len(cuts))))  # the parts overlap
     every = F.sequence(F.lit(1), F.size("lines"))
     touched = touched.withColumn("left", F.when(F.col("gone").isNull(), every).otherwise(F.array_except(every, lost))).select(
         "row", F.when(F.col("text").isNotNull(), F.array_join(F.transform("left", lambda i: F.element_at("lines", i)), "\n")).alias("text"),
@@ -137,7 +144,7 @@ def deduped(docs: DataFrame) -> DataFrame:
 
     n_chars, if there, is the text's new length.
     """
-    found = dedup(docs, pairs)
+    found = dedup(docs, pairs)  # the chunks go first; pairs, compared exactly, find what their cuts miss
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
