@@ -47,3 +47,15 @@ def test_negatives_are_ranked_once_for_all_queries_of_a_document(spark):
     assert len({(x.query_id % 3, x.doc_id, x.pool, x.n) for x in rows}) == 3 * 8
     windows = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
     assert windows and not any("query_id" in line for line in windows)
+
+
+def test_copies_are_one_class_until_the_last_join(spark, tmp_path):
+    """Large groups of copies, near copies and rows without tokens give the SQL's pairs, and no token array meets another copy's."""
+    base, other = [f"w{k}" for k in range(30)], [f"v{k}" for k in range(9)]
+    texts = [" ".join(base)] * 20 + [" ".join(base[::-1])] * 5 + [" ".join([*base[:26], f"x{k % 3}", f"y{k % 3}"]) for k in range(9)] + [" ".join(other[: 4 + k % 6]) for k in range(18)] + ["...", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held_against_sql(spark, tmp_path, ["near_token_pairs"], documents=rows)
+    found = catalog.queries()["near_token_pairs"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    arrays = plan[plan.index("array_intersect") :]
+    assert "min(doc_id" in arrays and "first(t" in arrays
