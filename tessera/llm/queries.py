@@ -46,7 +46,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+    return substring_dedup.passages(table(spark, sf_dir, "documents"), around=True)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ in 450, at 0.9 one in 21,000, and equal sets share all.
 Texts are sketched once, and only fingerprints, places, band values and a parity sketch of 256 bits
 are kept. Colliding paragraphs that the parity sketch, an upper bound, lets pass are verified by the exact Jaccard similarity of their full sets, which are computed
 again for those that collide, and clustered by components. In a text neighbouring paragraphs with
-partners are one passage, and passages of at least 25 words are reported.
+partners are one passage, and passages of at least 25 words are reported. Where these paragraphs have
+fewer words, all runs of 25 words that hold them are compared, so a passage that begins and ends inside
+a paragraph is found by the paragraphs between; the text of its row is what these runs cover.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.joins import marked
+from tessera.llm.joins import by_size, marked
 from tessera.llm.neardup import CHUNK, Linker, Shape, clusters, parities, word_lists
 from tessera.llm.words import BUCKET, distinct_sets, list_hashes, mix, parts, shingle_hashes, slices
 from tessera.llm.workspace import Workspace
@@ -30,6 +32,7 @@ from tessera.llm.workspace import Workspace
 PARAGRAPH = Shape(6, 2, 256, None)
 #: Words of a sentence that a paragraph may end with, and of a passage that is reported.
 SENTENCE_WORDS, PASSAGE_WORDS = 10, 25
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?]+(?=[ \t-\r]|\Z)|[.!?\n]|\Z)[ \t-\r]*")
 
 
@@ -161,12 +164,65 @@ def repeated_paragraphs(docs: DataFrame, space: Workspace, percent: int = 75, se
     return rows.withColumn("first", key == F.col("cluster")).drop("node", "last_key")
 
 
-def passages(docs: DataFrame, percent: int = 75, least_words: int = PASSAGE_WORDS, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
+def _windows(docs: DataFrame, runs: DataFrame, size: int, space: Workspace) -> DataFrame:
+    """(doc_id, print, asked, at, start, end, h): the size words from word at, with their hash, wherever they hold all of a run of runs, which is asked."""
+    kept = runs.select(F.struct("run", "start", "end", "n_paragraphs", "n_removed", "first_doc_id").alias("asked"), F.col("doc_id").alias("of"), F.col("print").alias("of_print"))
+    # a document's runs are no more than its text
+    by_doc = space.save(kept.groupBy("of", "of_print").agg(F.collect_list("asked").alias("asked")), "short-runs")
+
+    def run(batches):
+        for batch in (p for b in batches for p in parts(b)):
+            docs, which, at, begin, end, hashes = [], [], [], [], [], []
+            for i, (text, starts, ends) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends")))):
+                places = np.array([m.span() for m in WORD.finditer(text)], np.int64).reshape(-1, 2)
+                for k, (a, b) in enumerate(zip(starts, ends)):
+                    first, last = np.searchsorted(places[:, 0], [a, b])
+                    low, high = max(0, int(last) - size), min(len(places), int(first) + size)
+                    n = high - low - size + 1
+                    if n < 1:
+                        continue
+                    words = list_hashes([[text[x:y].encode().lower() for x, y in places[low:high].tolist()]], high - low)
+                    h = np.zeros(n, np.uint64)
+                    for j in range(size):
+                        h = mix(h + words[j : j + n])
+                    docs += [i] * n
+                    which += [k] * n
+                    at.append(np.arange(low, low + n))
+                    begin.append(places[low : low + n, 0])
+                    end.append(places[low + size - 1 : high, 1])
+                    hashes.append(h.view(np.int64))
+            if docs:
+                of = pa.array(docs)
+                numbers = [pa.array(np.concatenate(x).astype(kind)) for x, kind in ((at, np.int32), (begin, np.int32), (end, np.int32), (hashes, np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("print").take(of), pa.array(which, pa.int32()), *numbers], names=["doc_id", "print", "k", "at", "start", "end", "h"])
+
+    rows = marked(docs, F.col("print"), by_doc.select(F.xxhash64("of_print").alias("h"))).where("passed").drop("passed")
+    same = (F.col("print") == F.col("of_print")) & F.col("doc_id").eqNullSafe(F.col("of"))
+    rows = rows.join(by_doc, same).dropDuplicates(["doc_id", "print"])
+    rows = rows.select("doc_id", "print", "text", F.col("asked.start").alias("starts"), F.col("asked.end").alias("ends"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(run, f"doc_id {kind}, print long, k int, at int, start int, end int, h long")
+    return found.join(by_doc, same).select("doc_id", "print", F.col("asked")[F.col("k")].alias("asked"), "at", "start", "end", "h")
+
+
+def _reached(docs: DataFrame, runs: DataFrame, size: int, space: Workspace) -> DataFrame:
+    """The passages of at least size words, word for word, around runs of fewer: rows as runs has them."""
+    windows = space.save(_windows(docs, runs, size, space), "windows")
+    place = F.struct("doc_id", "print", "at")
+    groups = windows.groupBy("h").agg(F.count("*").alias("size"), F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other")
+    found = by_size(windows, space.save(groups.select("h", "size"), "shared-windows"), "h").groupBy("doc_id", "print", "asked").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + size).cast("long").alias("n_words"))
+    return found.select("doc_id", "print", "asked.run", "start", "end", "n_words", "asked.n_paragraphs", "asked.n_removed", "asked.first_doc_id")
+
+
+def passages(docs: DataFrame, percent: int = 75, least_words: int = PASSAGE_WORDS, sentence_words: int = SENTENCE_WORDS, around: bool = False) -> DataFrame:
     """(doc_id, start, end, n_words, n_paragraphs, n_removed, first_doc_id): repeated passages, one row for each.
 
     start and end are places in the text's characters. n_removed of the n_paragraphs aren't their
     cluster's first and are to be removed; first_doc_id is the least doc_id with a first paragraph
-    of the passage's clusters. least_words and sentence_words bound what counts as a passage and as
+    of the passage's clusters. With around, a passage whose whole paragraphs have fewer words than least_words is
+    reported too, as far as runs of least_words words that hold them occur elsewhere word for word; it
+    may reach into the passage beside it. least_words and sentence_words bound what counts as a passage and as
     the end of a paragraph; with 1 each, every sentence that occurs again is reported.
 
     Documents without repeated passages have no row, nor do null, empty and wordless texts; an empty
@@ -182,4 +238,9 @@ def passages(docs: DataFrame, percent: int = 75, least_words: int = PASSAGE_WORD
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_paragraphs"),
         F.sum((~F.col("first")).cast("long")).alias("n_removed"), F.min("cluster.doc_id").alias("first_doc_id"),
     )
-    return found.where(F.col("n_words") >= least_words).drop("run", "print")
+    if not around:
+        return found.where(F.col("n_words") >= least_words).drop("run", "print")
+    found = space.save(found, "runs")
+    texts = docs.select("doc_id", "text").where("text is not null").withColumn("print", F.xxhash64("text"))
+    short = _reached(texts, found.where(F.col("n_words") < least_words), least_words, space)
+    return found.where(F.col("n_words") >= least_words).unionByName(short).drop("run", "print")
