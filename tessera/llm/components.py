@@ -1,7 +1,9 @@
-"""Connected components of a link table, without bringing links or labels to the driver."""
+"""Connected components of a link table; at most a bounded number of links is brought to the driver."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,23 @@ from tessera.llm.workspace import Workspace
 
 #: Labels are spread this many times, so that a node with a third of all links is no one task's work.
 SALT = 8
+#: Links of long ends up to this number are followed on the driver, in one step; more of them in rounds, with the same result.
+FEW_LINKS = 200_000
+
+
+def labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links (a, b), and for each the least node that can be reached."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low, before = np.minimum(label[a], label[b]), label.copy()
+        # a node's label takes it along, so that a chain's halves meet by their labels
+        for end in (a, b, before[a], before[b]):
+            np.minimum.at(label, end, low)
+        label = label[label]
+        if (label == before).all():
+            return nodes, nodes[label]
 
 
 def components(links: DataFrame, space: Workspace) -> DataFrame:
@@ -18,8 +37,14 @@ def components(links: DataFrame, space: Workspace) -> DataFrame:
     label (pointer jumping), so that long chains need a logarithmic number of rounds. Null ends
     are ignored; no links give an empty table.
     """
-    both = links.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    once = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    once = space.save(once, "links")
+    if once.dtypes == [("a", "bigint"), ("b", "bigint")] and once.count() <= FEW_LINKS:
+        few = once.toArrow()
+        found = labels(few["a"].to_numpy(), few["b"].to_numpy())
+        found = space.spark.createDataFrame(pa.table([pa.array(x, pa.int64()) for x in found], ["node", "comp"]))
+        return space.save(found, "labels")
+    both = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = space.save(both.withColumn("salt", F.abs(F.xxhash64("a") % SALT).cast("int")), "edges")
     label = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
     label = space.save(label.withColumn("old", F.col("comp")), "labels")

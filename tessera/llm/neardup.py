@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tessera.llm.components import components
 from tessera.llm.joins import by_size, marked
 from tessera.llm.words import BUCKET, distinct_sets, parts, shingle_hashes, slices, word_hashes
-from tessera.llm.workspace import Workspace
+from tessera.llm.workspace import METHOD_BYTES, METHOD_SETTING, Workspace
 
 MANTISSA = 10
 #: Numbers of shingles hashed at once: few enough for the processor's cache.
@@ -165,6 +165,8 @@ class Linker:
     def __init__(self, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], space: Workspace, percent: int, shape: Shape):
         self.space, self.percent, self.shape, self.fetch = space, percent, shape, fetch
         self.columns = ["n", "parity"] if shape.slack is None else ["n", "parity", "sketch"]
+        # comparing two sketches of 32 words takes more code than one method may have
+        space.settings[METHOD_SETTING] = str(METHOD_BYTES)
         bands = self.bands(nodes)
         repeated = space.save(bands.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "repeated")
         found = space.save(by_size(bands, repeated, "h"), "found")
@@ -192,9 +194,16 @@ class Linker:
     def likely(self) -> Column:
         n, m = F.col("n_a"), F.col("n_b")
         fits = 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
-        words = range(self.shape.parity // 64)
-        differ = reduce(lambda p, q: p + q, (F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in words))
-        may = fits & (100 * (n + m - differ) >= self.percent * (n + m + differ))
+        words = self.shape.parity // 64
+
+        def differ(some: range) -> Column:
+            return reduce(lambda p, q: p + q, (F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in some))
+
+        def near(bits: Column) -> Column:  # 100 * (n + m - bits) >= percent * (n + m + bits)
+            return (100 - self.percent) * (n + m) >= (100 + self.percent) * bits
+
+        # a quarter of the sketch tells most pairs apart
+        may = fits & (near(differ(range(words // 4))) if words > 4 else F.lit(True)) & near(differ(range(words)))
         if self.shape.slack is None:
             return may
         return may & (estimate(F.col("sketch_a"), F.col("sketch_b"), n, m, self.shape) >= self.percent / 100 - self.shape.slack)

@@ -10,7 +10,7 @@ from tests.llm.conftest import prose
 from tessera.llm import minhash_dedup, neardup, substring_dedup
 from tessera.llm.components import components
 from tessera.llm.words import distinct_sets, shingle_hashes, word_hashes
-from tessera.llm.workspace import Workspace
+from tessera.llm.workspace import METHOD_SETTING, Workspace
 
 
 def sets(texts):
@@ -175,3 +175,31 @@ def test_more_keys_than_a_filter_holds_give_the_same_rows(spark):
     few = {x.id for x in marked(rows, F.col("id"), keys).where("passed").collect()}
     assert set(range(0, 1000, 7)) <= few and len(few) < 200
     assert marked(rows, F.col("id"), keys, most=10).where("passed").count() == 1000
+
+
+def test_few_links_are_followed_in_one_step_and_many_in_rounds_alike(spark, monkeypatch):
+    saved, write = [], Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name: saved.append((name, self.spark.conf.get(METHOD_SETTING))) or write(self, df, name))
+    r = random.Random(5)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + k, 999 + k) for k in range(1, 60)]
+    table = spark.createDataFrame(links, "a long, b long")
+    got = {tuple(x) for x in components(table, Workspace(spark, "t")).collect()}
+    assert [name for name, _ in saved] == ["links", "labels"]
+    monkeypatch.setattr("tessera.llm.components.FEW_LINKS", 0)
+    assert got == {tuple(x) for x in components(table, Workspace(spark, "t")).collect()} and len(got) > 250
+
+
+def test_sketches_are_compared_in_methods_that_get_compiled(spark, monkeypatch):
+    limits, write, before = [], Workspace.write, spark.conf.get(METHOD_SETTING)
+
+    def noted(self, df, name):
+        put = type(spark.conf).set
+        with monkeypatch.context() as m:
+            m.setattr(type(spark.conf), "set", lambda conf, k, v: (limits.append((name, v)) if k == METHOD_SETTING and v != before else None, put(conf, k, v))[1])
+            return write(self, df, name)
+
+    monkeypatch.setattr(Workspace, "write", noted)
+    texts = [(k, prose(k // 2, 60) + " more" * (k % 2)) for k in range(12)]
+    rows = minhash_dedup.dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in rows} == {k: k - k % 2 for k in range(12)}
+    assert ("screened", "8000") in limits and spark.conf.get(METHOD_SETTING) == before
