@@ -60,6 +60,7 @@ def words_of(text: str) -> list[str]:
 
 
 def _counts(batches):
+    worker("counts", dict)  # what an operator before has kept would stand beside the model
     for batch in (p for b in batches for p in parts(b)):
         found: Counter[tuple[str, str]] = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):

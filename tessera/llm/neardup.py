@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.joins import by_size, marked
-from tessera.llm.words import BUCKET, distinct_sets, parts, shingle_hashes, slices, word_hashes
+from tessera.llm.words import BUCKET, distinct_sets, parts, shingle_hashes, slices, word_hashes, worker
 from tessera.llm.workspace import METHOD_BYTES, METHOD_SETTING, Workspace
 
 MANTISSA = 10
@@ -113,6 +113,7 @@ def word_lists(words: np.ndarray, n: np.ndarray) -> pa.ListArray:
 
 
 def _sketch(batches):
+    worker("sketches", dict)  # nothing is kept, but what an operator before has kept goes
     for batch in (p for b in batches for p in parts(b)):
         texts = batch.column("text").to_pylist()
         hashes, n = shingle_hashes(*word_hashes(texts))

@@ -159,3 +159,13 @@ def test_toxicity_equals_brute_force(spark):
                 z = sum(float(model.weights[toxicity.features(w)].sum()) for w in words) + model.bias
                 clean *= 1 - 1 / (1 + np.exp(-z))
         assert abs(x.score - (1 - clean)) < 1e-4
+
+
+def test_counting_words_frees_what_a_worker_kept_before():
+    import pyarrow as pa
+
+    from tessera.llm import langid, words
+
+    words.worker("before", dict)
+    batch = pa.record_batch([["en"], ["a text"]], names=["lang", "text"])
+    assert sum(b.num_rows for b in langid._counts(iter([batch]))) == 2 and "before" not in words._kept
