@@ -28,8 +28,10 @@ def by_size(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") ->
     cold = groups.where(F.col("size") <= limit).drop("size")
     known = rows.where(F.col(key).isNotNull())
     few = known.join(F.broadcast(hot.drop("size")), key)
-    rest = known.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key, how)
-    out = few.unionByName(rest)
+    # a filter by the few hot keys themselves: no second broadcast, and no join that every row goes through
+    keys = [row[0] for row in hot.select(key).collect()]
+    rest = known.where(~F.col(key).isin(keys)) if keys else known
+    out = few.unionByName(rest.join(cold.hint("merge"), key, how))
     if how == "left":
         added = [F.lit(None).cast(f.dataType).alias(f.name) for f in groups.schema if f.name not in (key, "size")]
         out = out.unionByName(rows.where(F.col(key).isNull()).select("*", *added))
