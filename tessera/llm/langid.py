@@ -30,6 +30,8 @@ PIECE, LONG, CELLS = 16, 32, 100_000
 ROUNDS, SMOOTH = 3, 0.02
 #: Words whose scores a worker keeps; beyond it the memo starts anew, results don't depend on it.
 MEMO = 250_000
+#: New words that are scored at once.
+WORDS_AT_ONCE = 1_000
 #: Characters that may be letters; str.isalpha decides.
 LETTER = re.compile(r"[^\W\d_]")
 START = "▁"
@@ -203,10 +205,10 @@ class Lattice:
 
 
 class Model:
-    """Piece chances of each language: (pieces + 1, languages)."""
+    """Piece chances of each language: (pieces + 1, languages). Workers get the pieces with it and needn't load the vocabulary."""
 
-    def __init__(self, path: str, languages: list[str], chances: np.ndarray):
-        self.path, self.languages, self.chances = path, languages, chances
+    def __init__(self, path: str, languages: list[str], chances: np.ndarray, pieces: Pieces | None = None):
+        self.path, self.languages, self.chances, self.pieces = path, languages, chances, pieces
 
 
 def held_out(divisor: int, rest: int):
@@ -244,37 +246,44 @@ def train(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS) -> Model:
             uses += Lattice(part, pieces).expected(chances, np.stack([weights[t] for t in part]))
         uses[-1] = 0  # the unknown character has the same chance everywhere
         chances = (uses + SMOOTH) / (uses + SMOOTH).sum(0)
-    return Model(path, languages, chances)
+    return Model(path, languages, chances, pieces)
 
 
 class Scorer:
-    """Scores of words, computed once per word and worker."""
+    """Scores of words. Words that are new and stand twice among those asked for are kept for the worker's later texts."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.pieces = Pieces(vocabulary(model.path))
+        self.pieces = model.pieces or Pieces(vocabulary(model.path))
         self.memo: dict[str, int] = {}
         self.table = np.zeros((0, len(model.languages)))
 
     def rows(self, words: list[str]) -> np.ndarray:
+        """The place of each word in table, until the next call."""
+        self.table = self.table[: len(self.memo)].copy()
         found = list(map(self.memo.get, words))
         if None in found:
-            new = sorted({w for w, v in zip(words, found) if v is None})
-            if len(self.memo) + len(new) > MEMO:
+            counts = Counter(w for w, v in zip(words, found) if v is None)
+            if len(self.memo) + sum(n > 1 for n in counts.values()) > MEMO:
                 self.memo.clear()
                 self.table = self.table[:0]
-                new = sorted(set(words))
-            return self._learn(new, words)
+                counts, found = Counter(words), [None] * len(words)
+            place = self._learn(counts)
+            found = [place[w] if v is None else v for w, v in zip(words, found)]
         return np.array(found, np.int64)
 
-    def _learn(self, new: list[str], words: list[str]) -> np.ndarray:
+    def _learn(self, counts: Counter[str]) -> dict[str, int]:
+        """Where the scores of new words are in table. Most new words stand once in all texts, and would fill the memo for nothing."""
+        often = sorted(w for w, n in counts.items() if n > 1)
+        new = often + sorted(w for w, n in counts.items() if n == 1)
         texts = [START + w for w in new]
         scores = np.zeros((len(texts), self.table.shape[1]))
-        for at in portions(texts, 5_000):
+        for at in portions(texts, WORDS_AT_ONCE):
             scores[at] = Lattice([texts[i] for i in at], self.pieces).scores(self.model.chances)
-        self.memo.update(zip(new, range(len(self.table), len(self.table) + len(new))))
+        place = dict(zip(new, range(len(self.table), len(self.table) + len(new))))
+        self.memo.update((w, place[w]) for w in often)
         self.table = np.concatenate([self.table, scores])
-        return np.array([self.memo[w] for w in words], np.int64)
+        return place
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lists = [words_of(t) if t and has_letter(t) else [] for t in texts]
