@@ -87,8 +87,8 @@ def registers(hashes: np.ndarray, n: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def packed(regs: np.ndarray, lanes: int) -> np.ndarray:
-    """Registers packed, lanes to a 64-bit word, each in 15 bits."""
-    return (regs.reshape(len(regs), -1, lanes) << (15 * np.arange(lanes)[::-1])).sum(2)
+    """Registers packed, lanes to a 64-bit word, each in 15 bits; regs may have no rows, as where all texts of a batch are blank."""
+    return (regs.reshape(len(regs), regs.shape[1] // lanes, lanes) << (15 * np.arange(lanes)[::-1])).sum(2)
 
 
 def parities(hashes: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
