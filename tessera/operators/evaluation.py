@@ -84,9 +84,19 @@ def graded_retrieval(ranks: DataFrame, grades: DataFrame) -> DataFrame:
 
 
 def running_cost(events: DataFrame, key: str, order: list[str], cost: str) -> DataFrame:
-    """events with turn, their number from 1, and running, the cost up to and with them; nulls in order come last."""
+    """events with turn, their number from 1, and running, the cost up to and with them; nulls in order come last.
+
+    Costs that are doubles with at most twelve decimal places are added up exactly, so a sum that comes to a budget reaches
+    it. From the first other one on (NaN, infinite, very large, more places) a key's doubles are added up as they are.
+    """
     w = Window.partitionBy(key).orderBy(*(F.col(c).asc_nulls_last() for c in order))
-    return events.withColumn("turn", F.row_number().over(w)).withColumn("running", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    running = F.sum(cost).over(upto)
+    if events.schema[cost].dataType.simpleString() == "double":
+        exact = F.col(cost).try_cast("decimal(28,12)")
+        other = F.bool_or(~exact.cast("double").eqNullSafe(F.col(cost))).over(upto)
+        running = F.when(other, running).otherwise(F.sum(exact).over(upto).cast("double"))
+    return events.withColumn("turn", F.row_number().over(w)).withColumn("running", running)
 
 
 def budget_trigger(turns: DataFrame, key: str, threshold: float, fallback_turn: int) -> DataFrame:

@@ -91,6 +91,17 @@ def test_ledger_and_trigger(spark):
     assert evaluation.budget_trigger(turns, "q", 1.0, 99).first().turn == 2 and evaluation.budget_trigger(turns, "q", 9.0, 3).first().turn == 3
 
 
+def test_running_costs_are_exact(spark):
+    lists = {"tenths": [0.1] * 12, "null": [None, 0.1, None, 0.2], "third": [0.5, 1 / 3, 0.25], "large": [1e300, 1.0], "nan": [0.5, float("nan")], "below": [-0.1, 0.3]}
+    rows = spark.createDataFrame([(q, t, c) for q, costs in lists.items() for t, c in enumerate(costs)], "q string, t int, c double")
+    turns = evaluation.running_cost(rows, "q", ["t"], "c")
+    got = {q: [r.running for r in turns.where(F.col("q") == q).orderBy("turn").collect()] for q in lists}
+    assert got["tenths"] == [k / 10 for k in range(1, 13)] and got["null"] == [None, 0.1, 0.1, 0.3] and got["below"] == [-0.1, 0.2]
+    assert got["third"] == [0.5, 0.5 + 1 / 3, 0.5 + 1 / 3 + 0.25] and got["large"] == [1e300, 1e300 + 1.0] and got["nan"][0] == 0.5 and got["nan"][1] != got["nan"][1]
+    # ten doubles of 0.1 add up to 0.9999999999999999
+    assert evaluation.budget_trigger(turns.where("q = 'tenths'"), "q", 1.0, 99).first().turn == 10
+
+
 def test_graded_retrieval_counts_missing_runs(spark):
     ranks = spark.createDataFrame([("q", "a", 1)], "query_id string, doc_id string, rank int")
     grades = spark.createDataFrame([("q", "a", 1.0), ("q", "z", 0.0), ("r", "b", 2.0)], "query_id string, doc_id string, grade double")
