@@ -37,13 +37,14 @@ def components(links: DataFrame, space: Workspace) -> DataFrame:
     label (pointer jumping), so that long chains need a logarithmic number of rounds. Null ends
     are ignored; no links give an empty table.
     """
-    once = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    once = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     once = space.save(once, "links")
     if once.dtypes == [("a", "bigint"), ("b", "bigint")] and once.count() <= FEW_LINKS:
         few = once.toArrow()
         found = labels(few["a"].to_numpy(), few["b"].to_numpy())
         found = space.spark.createDataFrame(pa.table([pa.array(x, pa.int64()) for x in found], ["node", "comp"]))
         return space.save(found, "labels")
+    once = space.save(once.distinct(), "distinct-links")
     both = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = space.save(both.withColumn("salt", F.abs(F.xxhash64("a") % SALT).cast("int")), "edges")
     label = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))

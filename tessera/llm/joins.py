@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 HOT_GROUPS = 10_000
 #: Smaller groups are never hot.
 LEAST_HOT = 1_000
+#: Up to so many groups are all broadcast.
+FEW_GROUPS = 1 << 16
 #: Bits of a filter for each key, and the most keys that a filter holds: at most 512 Ki words of 64 bits are broadcast.
 BITS_A_KEY, MOST_KEYS = 16, 1 << 21
 
@@ -16,11 +18,13 @@ BITS_A_KEY, MOST_KEYS = 16, 1 << 21
 def by_size(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """rows joined with groups, which has one row for each key and size, the number of rows with it; size is left out.
 
-    Rows of hot groups stay where they are, for these groups are broadcast; no other key has more
-    than a ten-thousandth of all rows, or a thousand. how is inner or left; a null key has no group.
+    Where groups are few, they are broadcast and all rows stay where they are. Of more groups this holds for the
+    hot ones only; no other key has more than a ten-thousandth of all rows, or a thousand. how is inner or left; a null key has no group.
     groups is read several times and should be a saved table.
     """
-    found = groups.agg(F.sum("size").alias("total"), F.max("size").alias("most")).first()
+    found = groups.agg(F.sum("size").alias("total"), F.max("size").alias("most"), F.count("*").alias("groups")).first()
+    if found["groups"] <= FEW_GROUPS:
+        return rows.join(F.broadcast(groups.drop("size")), key, how)
     limit = max(LEAST_HOT, (found["total"] or 0) // HOT_GROUPS)
     if (found["most"] or 0) <= limit and how == "inner":
         return rows.join(groups.drop("size").hint("merge"), key)
@@ -38,13 +42,13 @@ def by_size(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner") ->
     return out
 
 
-def marked(rows: DataFrame, key: Column, keys: DataFrame, most: int = MOST_KEYS) -> DataFrame:
-    """rows with passed: false only where xxhash64(key) isn't one of the hashes in keys, a saved table (h).
+def marked(rows: DataFrame, key: Column, keys: DataFrame, most: int = MOST_KEYS, repeats: bool = False) -> DataFrame:
+    """rows with passed: false only where xxhash64(key) isn't one of the hashes in keys, a saved table (h); repeats tells that it has some of them often.
 
     A filter of 16 bits for each key is broadcast. Where there are more keys than a filter holds,
     every row passes, and the join that follows deals out all of them.
     """
-    n = keys.count()
+    n = (keys.distinct() if repeats else keys).count()
     if n > most:
         return rows.withColumn("passed", F.lit(True))
     bits = max(1 << 16, 1 << (BITS_A_KEY * n - 1).bit_length())

@@ -22,7 +22,6 @@ full sets instead, which loses none. Links inside a component can't change the c
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import compiled
 from tessera.llm.components import components
 from tessera.llm.joins import by_size, marked
 from tessera.llm.words import BUCKET, distinct_sets, parts, shingle_hashes, slices, word_hashes, worker
@@ -132,27 +132,10 @@ def sketches(items: DataFrame) -> DataFrame:
     return items.select("key", "text").mapInArrow(_sketch, f"key {kind}, n long, node binary, sketch array<long>, parity array<long>")
 
 
-def matches(a: Column, b: Column, shape: Shape) -> Column:
-    """Number of equal registers of two sketches, by bit operations on whole words.
-
-    A 15-bit lane of x is zero if adding 0x3FFF to its low 14 bits doesn't reach the top bit and
-    the top bit itself is not set.
-    """
-    low = sum(0x3FFF << (15 * k) for k in range(shape.lanes))
-    top = sum(0x4000 << (15 * k) for k in range(shape.lanes))
-
-    def equal(k: int) -> Column:
-        x = a[k].bitwiseXOR(b[k])
-        used = (x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(top))
-        return shape.lanes - F.bit_count(used)
-
-    return reduce(lambda p, q: p + q, (equal(k) for k in range(shape.bands)))
-
-
-def estimate(a: Column, b: Column, n: Column, m: Column, shape: Shape) -> Column:
-    """Jaccard similarity from matching registers, without the expected chance collisions."""
+def estimate(equal: Column, n: Column, m: Column, shape: Shape) -> Column:
+    """Jaccard similarity from the number of equal registers, without the expected chance collisions."""
     chance = F.lit(float(COLLIDE)) * n * m / ((n + m) * (n + m))
-    return (matches(a, b, shape) / F.lit(float(shape.buckets)) - chance) / (1 - chance)
+    return (equal / F.lit(float(shape.buckets)) - chance) / (1 - chance)
 
 
 class Linker:
@@ -166,17 +149,18 @@ class Linker:
     def __init__(self, nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], space: Workspace, percent: int, shape: Shape):
         self.space, self.percent, self.shape, self.fetch = space, percent, shape, fetch
         self.columns = ["n", "parity"] if shape.slack is None else ["n", "parity", "sketch"]
-        # comparing two sketches of 32 words takes more code than one method may have
+        # a join with all its columns can take more code than one method may have
         space.settings[METHOD_SETTING] = str(METHOD_BYTES)
         bands = self.bands(nodes)
         repeated = space.save(bands.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "repeated")
         found = space.save(by_size(bands, repeated, "h"), "found")
         space.drop(repeated)
         space.sweep()
-        ids = space.save(found.groupBy("id").agg(F.xxhash64("id").alias("h")), "ids")
         # only nodes that share a value are needed from here on
-        active = marked(nodes, F.col("id"), ids.select("h"))
-        self.active = space.save(active.where("passed").drop("passed"), "active")
+        active = marked(nodes, F.col("id"), found.select(F.xxhash64("id").alias("h")), repeats=True).where("passed").drop("passed")
+        # sketches as bytes, which are compared without making objects of their words
+        words = {c: compiled.call(space.spark, "tessera_words", c) for c in self.columns if c != "n"}
+        self.active = space.save(active.select("id", "node", "key", "n", *(x.alias(c) for c, x in words.items())), "active")
         # the least key: an original tends to stand before its copies
         keyed = found.join(self.active.select("id", "key"), "id")
         pivots = keyed.groupBy("h").agg(F.min(F.struct("key", "id"))["id"].alias("pivot"), F.count("*").alias("size"))
@@ -184,7 +168,7 @@ class Linker:
         self.buckets = space.save(by_size(found, pivots, "h"), "buckets")
         # what the clusters need in the end, without the sketches
         self.nodes = space.save(nodes.select("id", "node", "key", "last", "size"), "plain-nodes")
-        space.drop(found, ids, pivots, nodes)
+        space.drop(found, pivots, nodes)
         space.sweep()
         self.labels = None
 
@@ -193,29 +177,22 @@ class Linker:
         return values.select("id", *more, F.xxhash64("band", "value").alias("h"))
 
     def likely(self) -> Column:
-        n, m = F.col("n_a"), F.col("n_b")
+        n, m, spark = F.col("n_a"), F.col("n_b"), self.space.spark
         fits = 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
-        words = self.shape.parity // 64
-
-        def differ(some: range) -> Column:
-            return reduce(lambda p, q: p + q, (F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in some))
-
-        def near(bits: Column) -> Column:  # 100 * (n + m - bits) >= percent * (n + m + bits)
-            return (100 - self.percent) * (n + m) >= (100 + self.percent) * bits
-
-        # a quarter of the sketch tells most pairs apart
-        may = fits & (near(differ(range(words // 4))) if words > 4 else F.lit(True)) & near(differ(range(words)))
+        # 100 * (n + m - bits) >= percent * (n + m + bits), for so many bits at most
+        most = F.floor((100 - self.percent) * (n + m) / (100 + self.percent)).cast("long")
+        may = fits & (compiled.call(spark, "tessera_apart", "parity_a", "parity_b", most) <= most)
         if self.shape.slack is None:
             return may
-        return may & (estimate(F.col("sketch_a"), F.col("sketch_b"), n, m, self.shape) >= self.percent / 100 - self.shape.slack)
+        equal = compiled.call(spark, "tessera_equal", "sketch_a", "sketch_b", F.lit(self.shape.lanes))
+        return may & (estimate(equal, n, m, self.shape) >= self.percent / 100 - self.shape.slack)
 
     def ends(self, end: str) -> DataFrame:
         return self.active.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in self.columns))
 
     def screen(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs that sizes and estimates leave."""
-        pairs = self.space.save(pairs.select("a", "b").distinct(), "pairs")
-        return pairs.join(self.ends("a"), "a").join(self.ends("b"), "b").where(self.likely()).select("a", "b")
+        return pairs.select("a", "b").distinct().join(self.ends("a"), "a").join(self.ends("b"), "b").where(self.likely()).select("a", "b")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Those of the screened pairs whose full sets reach the threshold."""
@@ -322,7 +299,7 @@ class TextSets:
         rows = marked(self.items, F.col("key"), wanted.select(F.xxhash64("key").alias("h"))).where("passed").select("text")
         found = rows.mapInArrow(sets, "node binary, shingles array<long>")
         # rows that repeat a text bring its set again
-        return found.join(wanted.select("node", "id"), "node").groupBy("id").agg(F.first("shingles").alias("shingles"))
+        return found.join(wanted.select("node", "id"), "node").groupBy("node", "id").agg(F.first("shingles").alias("shingles")).drop("node")
 
 
 def clusters(members: DataFrame, linker: Linker) -> DataFrame:
