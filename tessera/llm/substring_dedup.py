@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.joins import by_size, marked
 from tessera.llm.neardup import CHUNK, Linker, Shape, clusters, parities, word_lists
-from tessera.llm.words import BUCKET, distinct_sets, list_hashes, mix, parts, shingle_hashes, slices
+from tessera.llm.words import BUCKET, distinct_sets, list_hashes, mix, parts, set_hashes, shingle_hashes, slices
 from tessera.llm.workspace import Workspace
 
 PARAGRAPH = Shape(6, 2, 256, None)
@@ -98,7 +98,7 @@ def _paragraphs(docs: DataFrame, sentence_words: int) -> DataFrame:
             if not rows:
                 continue
             counts = np.fromiter(map(len, lists), np.int64, len(lists))
-            sets, n = distinct_sets(*shingle_hashes(list_hashes(lists, int(counts.sum())), counts))
+            sets, n = distinct_sets(*shingle_hashes(set_hashes(lists, int(counts.sum())), counts))
             sketch = minima(sets, n)
             raw = memoryview(sets).cast("B")
             prints = [xxhash.xxh128_digest(raw[8 * a : 8 * b]) for a, b in slices(n)]
@@ -133,7 +133,7 @@ class ParagraphSets:
                     lists += [words[k] for k in numbers]
                     ids += some
                 counts = np.fromiter(map(len, lists), np.int64, len(lists))
-                sets, n = distinct_sets(*shingle_hashes(list_hashes(lists, int(counts.sum())), counts))
+                sets, n = distinct_sets(*shingle_hashes(set_hashes(lists, int(counts.sum())), counts))
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(sets.view(np.int64)))], names=["id", "shingles"])
 
@@ -172,7 +172,7 @@ def _windows(docs: DataFrame, runs: DataFrame, size: int, space: Workspace) -> D
 
     def run(batches):
         for batch in (p for b in batches for p in parts(b)):
-            docs, which, at, begin, end, hashes = [], [], [], [], [], []
+            docs, which, at, begin, end, lists, counts = [], [], [], [], [], [], []
             for i, (text, starts, ends) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends")))):
                 places = np.array([m.span() for m in WORD.finditer(text)], np.int64).reshape(-1, 2)
                 for k, (a, b) in enumerate(zip(starts, ends)):
@@ -181,19 +181,23 @@ def _windows(docs: DataFrame, runs: DataFrame, size: int, space: Workspace) -> D
                     n = high - low - size + 1
                     if n < 1:
                         continue
-                    words = list_hashes([[text[x:y].encode().lower() for x, y in places[low:high].tolist()]], high - low)
-                    h = np.zeros(n, np.uint64)
-                    for j in range(size):
-                        h = mix(h + words[j : j + n])
+                    lists.append([text[x:y].encode().lower() for x, y in places[low:high].tolist()])
+                    counts.append(n)
                     docs += [i] * n
                     which += [k] * n
                     at.append(np.arange(low, low + n))
                     begin.append(places[low : low + n, 0])
                     end.append(places[low + size - 1 : high, 1])
-                    hashes.append(h.view(np.int64))
             if docs:
+                n = np.array(counts)
+                words = list_hashes(lists, int((n + size - 1).sum()))
+                # the windows of all runs side by side; before each run's words stand those of the runs before
+                first = np.arange(int(n.sum())) + (size - 1) * np.repeat(np.arange(len(n)), n)
+                h = np.zeros(len(first), np.uint64)
+                for j in range(size):
+                    h = mix(h + words[first + j])
                 of = pa.array(docs)
-                numbers = [pa.array(np.concatenate(x).astype(kind)) for x, kind in ((at, np.int32), (begin, np.int32), (end, np.int32), (hashes, np.int64))]
+                numbers = [pa.array(np.concatenate(x).astype(kind)) for x, kind in ((at, np.int32), (begin, np.int32), (end, np.int32), ([h.view(np.int64)], np.int64))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("print").take(of), pa.array(which, pa.int32()), *numbers], names=["doc_id", "print", "k", "at", "start", "end", "h"])
 
     rows = marked(docs, F.col("print"), by_doc.select(F.xxhash64("of_print").alias("h"))).where("passed").drop("passed")
